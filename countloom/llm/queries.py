@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from countloom.llm import mixing, sharding, urls
+from countloom.llm import decontaminate, jpeg, mixing, sharding, urls
 
 
 def queries():
     return {
+        "op3_media": jpeg.op3_media,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_urls": urls.op7_urls,
         "op8_sharding": sharding.op8_sharding,
         "op9_mixing": mixing.op9_mixing,
