@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from countloom.llm import decontaminate, jpeg, mixing, sharding, urls
+from countloom.llm import decontaminate, jpeg, minhash, mixing, sharding, urls
 
 
 def queries():
     return {
+        "op1_minhash": minhash.op1_minhash,
         "op3_media": jpeg.op3_media,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_urls": urls.op7_urls,
