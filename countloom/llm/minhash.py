@@ -47,7 +47,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
         s = rolled[np.minimum(at, len(rolled) - 1)]
     for d in np.flatnonzero((n > 0) & (n < width)):
         a = w.first[d]
-        s[first[d]] = (h[a : a + n[d]] * _M[: n[d]]).sum(dtype=U) + U(int(n[d])) * _M[63]
+        s[first[d]] = np.append(h[a : a + n[d]] * _M[: n[d]], _M[63:] * U(int(n[d]))).sum(dtype=U)
     s = mix(s)
     for d in np.flatnonzero(count > 1):
         s[first[d] : first[d + 1]].sort()
@@ -66,7 +66,7 @@ def signatures(s: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.ndarr
     doc = np.repeat(np.arange(texts), np.diff(first))
     perm = None
     for j in range(slots):
-        r = mix(s + _M[j % 64] * U(j + 1))
+        r = mix(s + _M[j % 64 : j % 64 + 1] * U(j + 1))
         k = (j + ((r & U(0xFFFFFFFF)) * U(slots - j) >> U(32))).astype(np.int64)
         if j == 0:
             slot = k
