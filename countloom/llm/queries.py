@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from countloom.llm import decontaminate, jpeg, minhash, mixing, sharding, urls
+from countloom.llm import debruijn, decontaminate, jpeg, minhash, mixing, sharding, suffixes, urls
 
 
 def queries():
@@ -8,9 +8,11 @@ def queries():
         "op1_minhash": minhash.op1_minhash,
         "op3_media": jpeg.op3_media,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op6_debruijn": debruijn.op6_debruijn,
         "op7_urls": urls.op7_urls,
         "op8_sharding": sharding.op8_sharding,
         "op9_mixing": mixing.op9_mixing,
+        "op10_suffixes": suffixes.op10_suffixes,
     }
 
 
