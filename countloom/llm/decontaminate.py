@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from countloom.llm.words import NOT_ALNUM, Words, slices
 
@@ -235,10 +234,13 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, **how) ->
                     last = words.end[a + y - 1] - base
                 texts[d] = b"".join([*out, raw[last:]]).decode()
             part = part.set_column(at, names[at], pa.array(texts, part.schema.field(at).type))
+            if "n_chars" in names:
+                at, cut = names.index("n_chars"), n_hit > 0
+                sizes = [len(t) if c else n for t, n, c in zip(texts, part.column(at).to_pylist(), cut, strict=True)]
+                part = part.set_column(at, "n_chars", pa.array(sizes, part.schema.field(at).type))
         return part.filter(pa.array(keep))
 
-    out = matched(docs, benchmark, kernel, schema, **how)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+    return matched(docs, benchmark, kernel, schema, **how)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def plan(docs: DataFrame, scratch: Scratch, block: int = 128, most: float = 3.0,
     sources = sources.withColumn("first", F.coalesce(F.sum("draws").over(Window.partitionBy(F.lit(0)).orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = scratch.save(sources.coalesce(1), "sources")
     total = sources.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
-    sized = running(sized, ["skey"], ["doc_id", "t"], F.col("size"), "at").drop("t", "source")
+    sized = running(sized, ["skey"], ["doc_id", "t"], F.col("size"), "at").drop("source")
     # a source's draws are one interval of all draws; the intervals are cut at multiples of `piece` for an equi-join
     piece = 65536
     cut = sources.where("draws > 0").select("skey", "first", "draws", "blocks", F.explode(F.sequence(F.floor(F.col("first") / piece), F.floor((F.col("first") + F.col("draws") - 1) / piece))).alias("piece"))
@@ -78,16 +78,17 @@ def plan(docs: DataFrame, scratch: Scratch, block: int = 128, most: float = 3.0,
 
 
 def taken(docs: DataFrame, scratch: Scratch, block: int = 128, **how) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): how many of each document's words the mix takes, repeats counted."""
+    """(doc_id, t, size, source_size, target, taken): how many of each document's words the mix takes, repeats counted;
+    t: the text's hash."""
     sized, sources, slots = plan(docs, scratch, block, **how)
     uses = slots.groupBy("skey", "index").agg(F.count("*").alias("uses"))
     last = F.floor((F.col("at") + F.col("size") - 1) / block)
     parts = sized.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("at") / block), last)))
     length = F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("at"), F.col("index") * block)
     parts = parts.withColumn("length", length).join(uses, ["skey", "index"], "left")
-    words = parts.groupBy("skey", "at", "doc_id", "size").agg(F.coalesce(F.sum(F.col("uses") * F.col("length")), F.lit(0)).alias("taken")).select("skey", "doc_id", "size", "taken")
-    words = words.unionByName(sized.where("size = 0").select("skey", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
-    return words.join(sources.select("skey", "source_size", "target"), "skey").select("doc_id", "size", "source_size", "target", "taken")
+    words = parts.groupBy("skey", "at", "doc_id", "t", "size").agg(F.coalesce(F.sum(F.col("uses") * F.col("length")), F.lit(0)).alias("taken")).select("skey", "doc_id", "t", "size", "taken")
+    words = words.unionByName(sized.where("size = 0").select("skey", "doc_id", "t", "size", F.lit(0).cast("long").alias("taken")))
+    return words.join(sources.select("skey", "source_size", "target"), "skey").select("doc_id", "t", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
@@ -95,14 +96,14 @@ def mixed(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     whole document being decided by a hash of the document, so that words still come near their targets. Equal rows
     share one number of copies for each."""
     share = taken(docs, scratch, **how)
-    u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "nth"), F.lit(1 << 30)) / float(1 << 30)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "taken"))
-    copies = share.withColumn("nth", nth).select("doc_id", "nth", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + u)).otherwise(0).cast("int").alias("copies"))
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)), F.xxhash64("text"))
-    rows = docs.withColumn("__nth", F.row_number().over(order))
-    met = rows.join(copies.where("copies > 0"), rows["doc_id"].eqNullSafe(copies["doc_id"]) & (rows["__nth"] == copies["nth"])).select(*[rows[c] for c in docs.columns], "copies")
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "t").orderBy("taken"))
+    u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "t", "nth"), F.lit(1 << 30)) / float(1 << 30)
+    share = share.where("size > 0").withColumn("nth", nth).select(F.col("doc_id").alias("d"), "t", "nth", F.floor(F.col("taken") / F.col("size") + u).cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("own"))
+    rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("id", "own").orderBy(F.lit(0))))
+    met = rows.join(share, F.col("id").eqNullSafe(F.col("d")) & (F.col("own") == F.col("t")) & (F.col("own_nth") == F.col("nth")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)).drop("t")

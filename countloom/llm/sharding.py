@@ -96,10 +96,10 @@ def sharded(docs: DataFrame, scratch: Scratch, shards: int = 24, **how) -> DataF
     """docs with their shard and slot. Rows that agree in id and text are told apart by their number only."""
     placed = place(docs, scratch, shards, **how)
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "t1", "t2").orderBy("shard", "slot"))).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__p1"), F.col("t2").alias("__p2"), "nth", "shard", "slot")
-    rows = docs.select(*docs.columns, *text_keys(F.col("text"), ("__t1", "__t2")))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__t1", "__t2").orderBy(F.lit(0))))
-    met = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t1") == F.col("__p1")) & (F.col("__t2") == F.col("__p2")) & (F.col("__nth") == F.col("nth")))
-    return met.select(*[rows[c] for c in docs.columns if c not in ("shard", "slot")], placed["shard"], placed["slot"])
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("row")).select("row", F.col("row.doc_id").alias("id"), *text_keys(F.col("row.text"), ("k1", "k2")))
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("id", "k1", "k2").orderBy(F.lit(0))))
+    met = rows.join(placed, F.col("id").eqNullSafe(F.col("__id")) & (F.col("k1") == F.col("__p1")) & (F.col("k2") == F.col("__p2")) & (F.col("own") == F.col("nth")))
+    return met.select("row.*", "shard", "slot")
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
