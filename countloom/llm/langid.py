@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from countloom.llm.words import U, Words, mix, slices, table
+from countloom.llm.words import U, Words, mix, runs_of, slices, table
 
 NOT_LETTER = table([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 NGRAMS = (5, 4, 3, 2, 1)
@@ -133,14 +133,18 @@ def fit(texts: dict[str, list[bytes]], words: int, grams: int) -> Model:
     languages = sorted(texts, key=lambda x: x.encode())
     word_h, word_n, gram_h, gram_n = [], [], [], []
     for name in languages:
-        raw = texts[name]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        w = Words(data, np.cumsum([0, *map(len, raw)]), NOT_LETTER, lower=True)
-        h, one, n = np.unique(w.hashes(), return_index=True, return_counts=True)
+        own: dict[int, bytes] = {}
+        found = [np.zeros(0, U)]
+        for data, off in runs_of(texts[name]):
+            w = Words(data, off, NOT_LETTER, lower=True)
+            found.append(w.hashes())
+            h, one = np.unique(found[-1], return_index=True)
+            low = w.data.tobytes()
+            own |= {k: low[a:b] for k, a, b in zip(h.tolist(), w.start[one].tolist(), w.end[one].tolist(), strict=True)}
+        h, n = np.unique(np.concatenate(found), return_counts=True)
         word_h.append(h)
         word_n.append(n)
-        low = w.data.tobytes()
-        own = [low[a:b] for a, b in zip(w.start[one].tolist(), w.end[one].tolist(), strict=True)]
+        own = list(own.values())
         found = [np.zeros(0, U)]
         for i in range(0, len(own), 50_000):  # each distinct word once: unseen words are rare ones
             found += [h_[fits] for h_, fits in grams_of(own[i : i + 50_000])]

@@ -67,6 +67,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             i = j
 
 
+def runs_of(texts: list[bytes], limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of texts with at most `limit` bytes or a single text."""
+    i = 0
+    while i < len(texts):
+        j, size = i + 1, len(texts[i])
+        while j < len(texts) and size + len(texts[j]) <= limit:
+            size += len(texts[j])
+            j += 1
+        yield np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum([0, *map(len, texts[i:j])])
+        i = j
+
+
 class Words:
     """The words of a slice: start and end bytes, and where each text's words begin (`first`, one more than texts)."""
 
