@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from countloom.workers import reachable
+
 
 class Tables:
     own: str | None = None
@@ -15,7 +17,7 @@ class Tables:
         at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not at:
             Tables.own = at = Tables.own or "file://" + tempfile.mkdtemp(prefix="countloom-")
-        self.spark, self.base = spark, f"{at.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.spark, self.base = reachable(spark), f"{at.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
