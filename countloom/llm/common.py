@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from countloom.workers import reachable
+
 #: Words of most contracts: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,7 +28,7 @@ class Scratch:
     """Written tables that cut lineage. They lie in the shared folder, so a lost executor takes none of them along."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.spark, self.base = reachable(spark), f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
