@@ -147,3 +147,20 @@ def feature_conditional(x: Experiment) -> DataFrame:
     size, n_y = F.col("genes") - mine, F.col("n_y") - mine * F.col("n_g")
     score = F.col("gain") + lgamma(size + 1 + gamma) - lgamma(size + gamma) + lgamma((size + 1) * delta) - lgamma(size * delta) + lgamma(n_y + size * delta) - lgamma(n_y + F.col("n_g") + (size + 1) * delta)
     return joined.select("feature_id", "y", score.alias("score"))
+
+
+def cell_conditional_of_modules(x: Experiment) -> DataFrame:
+    """cell_conditional() where clusters and modules are modelled together: on module sums."""
+    from dataclasses import replace
+
+    sums = aggregate.by_module(x.counts, x.features).select(F.col("y").cast("long").alias("feature_id"), "cell_id", "n")
+    levels = x.counts.sparkSession.range(1, x.params["L"] + 1).select(F.col("id").alias("feature_id"))
+    return cell_conditional(replace(x, counts=sums, features=levels))
+
+
+def feature_conditional_of_clusters(x: Experiment) -> DataFrame:
+    """feature_conditional() where both are modelled together: on cluster sums."""
+    from dataclasses import replace
+
+    sums = aggregate.by_cluster(x.counts, x.cells).select("feature_id", F.col("z").cast("long").alias("cell_id"), "n")
+    return feature_conditional(replace(x, counts=sums))

@@ -98,3 +98,10 @@ def trimmed_mean(values: DataFrame, by: str, value: str = "value", trim: float =
 
 def quantile(values: DataFrame, by: str, q: float, value: str = "value") -> DataFrame:
     return values.groupBy(by).agg(F.percentile(value, F.lit(q)).alias(value))
+
+
+def drawn_label(scores: DataFrame, item: str, label: str = "z", score: str = "score", seed: int = 12345) -> DataFrame:
+    """(item, label): a draw from each item's log-probabilities, by adding Gumbel noise to them and taking the best. The
+    noise is a hash of item, label and seed, so a draw does not depend on how rows are dealt out."""
+    u = (F.pmod(F.xxhash64(item, label, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return best_label(scores.withColumn("__drawn", F.col(score) - F.log(-F.log(u))), item, label, "__drawn")

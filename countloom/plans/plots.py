@@ -146,3 +146,26 @@ def distinct_colors(n: int, hues: tuple[str, ...] = ("red", "cyan", "orange", "b
         for h in hues:
             out.append("#%02X%02X%02X" % tuple(round(255 * c) for c in colorsys.hsv_to_rgb(angle[h] / 360, s, v)))
     return out[:n]
+
+
+def heatmap_order(values: DataFrame, labels: DataFrame, item: str, other: str, label: str, method: str = "ward.D2", limit: int = 2000) -> DataFrame:
+    """(item, label, place): items ordered by agglomerative clustering within their label, labels in numeric order; at
+    most `limit` items, as the linkage holds all their distances."""
+    import numpy as np
+
+    from countloom.plans.kernels import complete_order
+
+    listed = labels.select(item, label).orderBy(label, item).limit(limit + 1).toPandas()
+    if len(listed) > limit:
+        raise ValueError(f"more than {limit} items to order")
+    rows = values.join(labels.select(item), item, "left_semi").select(item, other, "value").toPandas()
+    wide = rows.pivot_table(index=item, columns=other, values="value", fill_value=0.0)
+    wide = wide.reindex(listed[item], fill_value=0.0)
+    out = []
+    for name, group in listed.groupby(label, sort=True):
+        m = wide.loc[group[item]].to_numpy()
+        n = (m**2).sum(axis=1)
+        d = np.sqrt(np.maximum(n[:, None] + n - 2 * m @ m.T, 0))
+        order = complete_order(d, method) if len(group) > 1 else np.array([0])
+        out += [(int(group[item].iloc[i]), int(name)) for i in order]
+    return values.sparkSession.createDataFrame([(i, z, p + 1) for p, (i, z) in enumerate(out)], f"{item} long, {label} int, place int")

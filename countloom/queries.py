@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from countloom.functions.special import lgamma
 from countloom.operators import aggregate, contamination, distances, factorize, filters, likelihood, normalize, rank
-from countloom.plans import fits, plots
+from countloom.plans import embed, fits, plots
 from countloom.sources import matrix, simulate
 
 K, L = 5, 8
@@ -103,9 +103,9 @@ def _(x):
     return filters.module_of(names, x.features).select("query", "feature_id", F.col("y").cast("long").alias("y"))
 
 
-@query("feature_lookup_regex", "SELECT q AS query, (SELECT MIN(feature_id) FROM features WHERE regexp_matches(name, q)) AS feature_id FROM (SELECT unnest(['^red', 'bolt$', 'nothing like this']) AS q)")
+@query("feature_lookup_regex", "SELECT q AS query, COALESCE((SELECT MIN(feature_id) FROM features WHERE regexp_matches(name, q)), -1) AS feature_id FROM (SELECT unnest(['^red', 'bolt$', 'nothing like this']) AS q)")
 def _(x):
-    return filters.feature_index(["^red", "bolt$", "nothing like this"], x.features, exact=False)
+    return filters.feature_index(["^red", "bolt$", "nothing like this"], x.features, exact=False).na.fill(-1)
 
 
 @query("recode", "SELECT cell_id, CASE z WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE z END AS z FROM cells")
@@ -274,22 +274,41 @@ LG = "lgamma(CAST({} AS DOUBLE))"
 
 
 @query("cluster_probability_c", f"""
-SELECT i.cell_id, i.z, round(ln(zs.cells - (i.z = i.own)::INT + 1.0) + i.gain - {LG.format('t.n - (i.z = i.own)::INT * i.nc + i.nc + g.g')} + {LG.format('t.n - (i.z = i.own)::INT * i.nc + g.g')}, 5) AS score
+SELECT i.cell_id, i.z, round(ln(zs.cells - (i.z = i.own)::INT + 1.0) + i.gain - {LG.format('t.n - (i.z = i.own)::INT * i.nc + i.nc + g.g')} + {LG.format('t.n - (i.z = i.own)::INT * i.nc + g.g')}, 3) AS score
 FROM (SELECT m.cell_id, c.z AS own, c.sample, ks.z, SUM({LG.format('coalesce(gz.n, 0) - (ks.z = c.z)::INT * m.n + m.n + 1')} - {LG.format('coalesce(gz.n, 0) - (ks.z = c.z)::INT * m.n + 1')}) AS gain, SUM(m.n) AS nc
   FROM mx m JOIN cells c USING (cell_id) CROSS JOIN ks LEFT JOIN gz ON gz.feature_id = m.feature_id AND gz.z = ks.z GROUP BY ALL) i
 JOIN zs ON zs.z = i.z AND zs.sample = i.sample JOIN (SELECT z, SUM(n) AS n FROM gz GROUP BY z) t ON t.z = i.z, (SELECT COUNT(*) AS g FROM features) g""")
 def _(x):
-    return likelihood.cell_conditional(x).select("cell_id", "z", r("score", 5).alias("score"))
+    return likelihood.cell_conditional(x).select("cell_id", "z", r("score", 3).alias("score"))
 
 
 @query("cluster_probability_g", f"""
-SELECT feature_id, y, round(gain + {LG.format('s + 2')} - {LG.format('s + 1')} + {LG.format('s + 1')} - {LG.format('s')} + {LG.format('t + s')} - {LG.format('t + n + s + 1')}, 5) AS score FROM (
+SELECT feature_id, y, round(gain + {LG.format('s + 2')} - {LG.format('s + 1')} + {LG.format('s + 1')} - {LG.format('s')} + {LG.format('t + s')} - {LG.format('t + n + s + 1')}, 3) AS score FROM (
 SELECT i.feature_id, i.y, i.gain, i.ng AS n, sizes.genes - (i.y = i.own)::INT AS s, t.n - (i.y = i.own)::INT * i.ng AS t
 FROM (SELECT m.feature_id, f.y AS own, ls.y, SUM({LG.format('coalesce(yc.n, 0) - (ls.y = f.y)::INT * m.n + m.n + 1')} - {LG.format('coalesce(yc.n, 0) - (ls.y = f.y)::INT * m.n + 1')}) AS gain, SUM(m.n) AS ng
   FROM mx m JOIN features f USING (feature_id) CROSS JOIN ls LEFT JOIN yc ON yc.cell_id = m.cell_id AND yc.y = ls.y GROUP BY ALL) i
 JOIN sizes ON sizes.y = i.y JOIN (SELECT y, SUM(n) AS n FROM yc GROUP BY y) t ON t.y = i.y)""")
 def _(x):
-    return likelihood.feature_conditional(x).select("feature_id", "y", r("score", 5).alias("score"))
+    return likelihood.feature_conditional(x).select("feature_id", "y", r("score", 3).alias("score"))
+
+
+@query("cluster_probability_cg_cells", f"""
+SELECT i.cell_id, i.z, round(ln(zs.cells - (i.z = i.own)::INT + 1.0) + i.gain - {LG.format('t.n - (i.z = i.own)::INT * i.nc + i.nc + g.g')} + {LG.format('t.n - (i.z = i.own)::INT * i.nc + g.g')}, 3) AS score
+FROM (SELECT m.cell_id, c.z AS own, c.sample, ks.z, SUM({LG.format('coalesce(yz.n, 0) - (ks.z = c.z)::INT * m.n + m.n + 1')} - {LG.format('coalesce(yz.n, 0) - (ks.z = c.z)::INT * m.n + 1')}) AS gain, SUM(m.n) AS nc
+  FROM yc m JOIN cells c USING (cell_id) CROSS JOIN ks LEFT JOIN yz ON yz.y = m.y AND yz.z = ks.z GROUP BY ALL) i
+JOIN zs ON zs.z = i.z AND zs.sample = i.sample JOIN (SELECT z, SUM(n) AS n FROM yz GROUP BY z) t ON t.z = i.z, (SELECT COUNT(*) AS g FROM ls) g""")
+def _(x):
+    return likelihood.cell_conditional_of_modules(x).select("cell_id", "z", r("score", 3).alias("score"))
+
+
+@query("cluster_probability_cg_features", f"""
+SELECT feature_id, y, round(gain + {LG.format('s + 2')} - {LG.format('s + 1')} + {LG.format('s + 1')} - {LG.format('s')} + {LG.format('t + s')} - {LG.format('t + n + s + 1')}, 3) AS score FROM (
+SELECT i.feature_id, i.y, i.gain, i.ng AS n, sizes.genes - (i.y = i.own)::INT AS s, t.n - (i.y = i.own)::INT * i.ng AS t
+FROM (SELECT m.feature_id, f.y AS own, ls.y, SUM({LG.format('coalesce(yz.n, 0) - (ls.y = f.y)::INT * m.n + m.n + 1')} - {LG.format('coalesce(yz.n, 0) - (ls.y = f.y)::INT * m.n + 1')}) AS gain, SUM(m.n) AS ng
+  FROM gz m JOIN features f USING (feature_id) CROSS JOIN ls LEFT JOIN yz ON yz.z = m.z AND yz.y = ls.y GROUP BY ALL) i
+JOIN sizes ON sizes.y = i.y JOIN (SELECT y, SUM(n) AS n FROM yz GROUP BY y) t ON t.y = i.y)""")
+def _(x):
+    return likelihood.feature_conditional_of_clusters(x).select("feature_id", "y", r("score", 3).alias("score"))
 
 
 @query("em_assign", "SELECT cell_id, z FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY score DESC, z) AS r FROM score_c) WHERE r = 1", BOTH)
@@ -302,6 +321,11 @@ def _(x):
     return rank.second_best(likelihood.cell_scores(x, "c"), x.cells, "cell_id")
 
 
+@query("drawn_label")
+def _(x):
+    return rank.drawn_label(likelihood.cell_conditional(x), "cell_id")
+
+
 # 2.6, 2.7: ranks, runs
 
 
@@ -595,6 +619,23 @@ def _(x):
     return fits.initial_clusters(x, 200)
 
 
+@query("embedding_graph")
+def _(x):
+    return embed.embedding(_sub(x), "graph", 10, rounds=50)
+
+
+@query("embedding_neighbours")
+def _(x):
+    return embed.embedding(_sub(x), "neighbours", 10, rounds=100)
+
+
+@query("resampled_perplexity")
+def _(x):
+    m = fits.small(_sub(x))
+    s = x.counts.sparkSession
+    return fits.resampled_perplexity(s, m, "c", fits.run_all(s, m, "c", fits.grid({"K": [2, 3]}, 1, 5), fits.Priors(), max_iter=5), resamples=2)
+
+
 Q["simulate_cells"] = lambda s, d: simulate.simulate_cells(s, "cg").counts
 Q["simulate_contamination"] = lambda s, d: simulate.simulate_contamination(s)[0].counts
 
