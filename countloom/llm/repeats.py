@@ -170,8 +170,10 @@ def repeated(docs: DataFrame, scratch: Scratch, by: str, window: int, k: int, co
     base = docs.select("doc_id", *text_keys(F.col("text")), "text")
     every = scratch.save(all_segments(base, by, window, k), "segments")
     anchors = every.groupBy("ah").agg(F.count("*").alias("all"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("`all` > 1")
-    shared = scratch.save(every.join(anchors.select("ah", (F.col("lo") < F.col("hi")).alias("several")), "ah"), "shared")
-    scratch.drop("segments")
+    # a table of its own: a join of two plain exchanges is one that adaptive execution may split at a hot anchor
+    anchors = scratch.save(anchors.select("ah", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
+    shared = scratch.save(every.join(anchors, "ah"), "shared")
+    scratch.drop("segments", "anchors")
     turn = F.xxhash64("doc_id", "t1", "p")
     kinds = shared.withColumn("turn", turn).groupBy("ah", "sh", "several").agg(F.count("*").alias("c"), F.min("n").alias("n"), *[F.min_by(x, "turn").alias(x) for x in ("doc_id", "t1", "t2", "p")])
     kinds = scratch.save(kinds, "kinds")
