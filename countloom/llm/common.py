@@ -49,6 +49,21 @@ def text_keys(text: Column, names: tuple[str, str] = ("t1", "t2")) -> list[Colum
     return [F.xxhash64(t).alias(names[0]), F.xxhash64(F.lit("second"), t).alias(names[1])]
 
 
+def values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small table of literals as SQL VALUES; columns: names and types, as in a schema string."""
+    fields = [c.strip().split() for c in columns.split(",")]
+    names = ", ".join(n for n, _ in fields)
+    casts = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in fields)
+    one = lambda v: "NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    listed = ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {listed} AS t({names})")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A number for a whole row, to order rows that are alike in everything else."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map" not in f.dataType.simpleString()])
+
+
 def running(df: DataFrame, part: list[str], order: list[str], value: Column, name: str, buckets: int = 256) -> DataFrame:
     """Add `name`: the sum of `value` over the earlier rows of the same part, rows being ordered by
     (hash bucket of `order`, `order`). A part is spread over `buckets` tasks: each sums its own rows, and the

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from countloom.llm.common import WORD, Scratch, running
+from countloom.llm.common import WORD, Scratch, row_hash, running
 
 ROUNDS = 12
 
@@ -99,8 +99,8 @@ def mixed(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "t").orderBy("taken"))
     u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "t", "nth"), F.lit(1 << 30)) / float(1 << 30)
     share = share.where("size > 0").withColumn("nth", nth).select(F.col("doc_id").alias("d"), "t", "nth", F.floor(F.col("taken") / F.col("size") + u).cast("int").alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("own"))
-    rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("id", "own").orderBy(F.lit(0))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_hash(docs).alias("whole")).select("row", "whole", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("own"))
+    rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("id", "own").orderBy("whole")))
     met = rows.join(share, F.col("id").eqNullSafe(F.col("d")) & (F.col("own") == F.col("t")) & (F.col("own_nth") == F.col("nth")))
     return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from countloom.llm.common import Scratch, running, text_keys
+from countloom.llm.common import Scratch, row_hash, running, text_keys, values
 
 
 def allowed(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
@@ -46,9 +46,9 @@ def propagate(linked: DataFrame, quotas: list[int], scratch: Scratch, rounds: in
         leave = allowed(wishes, [q - held.get(s, 0) for s, q in enumerate(quotas)])
         if not any(leave.values()):
             break
-        limits = spark.createDataFrame([(a, b, n) for (a, b), n in leave.items()], "shard int, to int, `limit` long")
+        limits = values(spark, [(a, b, n) for (a, b), n in leave.items()], "shard int, to int, most long")
         queue = running(moves, ["shard", "to"], ["g1", "g2"], F.col("n"), "before").join(F.broadcast(limits), ["shard", "to"])
-        goes = F.least(F.col("n"), F.greatest(F.lit(0), F.col("limit") - F.col("before")))
+        goes = F.least(F.col("n"), F.greatest(F.lit(0), F.col("most") - F.col("before")))
         queue = queue.withColumn("goes", goes).where("goes > 0").select("g1", "g2", "shard", "to", "goes")
         change = queue.select("g1", "g2", "shard", (-F.col("goes")).alias("n")).unionByName(queue.select("g1", "g2", F.col("to").alias("shard"), F.col("goes").alias("n")))
         state = scratch.save(state.unionByName(change).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).where("n > 0"), f"state{i + 1}")
@@ -96,8 +96,8 @@ def sharded(docs: DataFrame, scratch: Scratch, shards: int = 24, **how) -> DataF
     """docs with their shard and slot. Rows that agree in id and text are told apart by their number only."""
     placed = place(docs, scratch, shards, **how)
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "t1", "t2").orderBy("shard", "slot"))).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__p1"), F.col("t2").alias("__p2"), "nth", "shard", "slot")
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("row")).select("row", F.col("row.doc_id").alias("id"), *text_keys(F.col("row.text"), ("k1", "k2")))
-    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("id", "k1", "k2").orderBy(F.lit(0))))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("row"), row_hash(docs).alias("whole")).select("row", "whole", F.col("row.doc_id").alias("id"), *text_keys(F.col("row.text"), ("k1", "k2")))
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("id", "k1", "k2").orderBy("whole")))
     met = rows.join(placed, F.col("id").eqNullSafe(F.col("__id")) & (F.col("k1") == F.col("__p1")) & (F.col("k2") == F.col("__p2")) & (F.col("own") == F.col("nth")))
     return met.select("row.*", "shard", "slot")
 

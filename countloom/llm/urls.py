@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from countloom.llm.common import values
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,7 +84,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", **sizes: i
 
 
 def op7_urls(spark, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "rule_host string, rule_path string, rule_verdict string")
+    rules = values(spark, RULES, "rule_host string, rule_path string, rule_verdict string")
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
