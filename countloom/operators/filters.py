@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,6 +94,18 @@ def append_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.drop(*drop).unionByName(b.drop(*drop).withColumn("index", F.col("index") + last))
 
 
+def subset_items(x: Experiment, features: list[int] | None = None, cells: list[int] | None = None) -> Experiment:
+    """x with listed features and cells only, tables and counts in step."""
+    out = x
+    if features is not None:
+        on = F.col("feature_id").isin(features)
+        out = replace(out, counts=out.counts.where(on), features=out.features.where(on))
+    if cells is not None:
+        on = F.col("cell_id").isin(cells)
+        out = replace(out, counts=out.counts.where(on), cells=out.cells.where(on))
+    return out
+
+
 def embedded(cells: DataFrame, dims: DataFrame) -> DataFrame:
     """Cells with both coordinates; cells without are dropped."""
     return cells.join(dims.dropna(subset=["dim1", "dim2"]), "cell_id")

@@ -128,27 +128,33 @@ def cluster_cells(x: Experiment, k: int, priors: Priors = Priors(), algorithm: s
     try:
         return _best(spark, x, "c", grid({"K": [k]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
     except TooLarge:
-        if algorithm != "EM":
-            raise
-        return cluster_cells_distributed(x, k, priors, seed, max_iter)
+        return cluster_cells_distributed(x, k, priors, seed, max_iter, algorithm)
 
 
-def cluster_cells_distributed(x: Experiment, k: int, priors: Priors = Priors(), seed: int = 12345, max_iter: int = 200) -> Model:
-    """EM with each step one join and two aggregations; labels are written between steps, which cuts their lineage.
-    It ends when a step brings no better likelihood."""
+def cluster_cells_distributed(x: Experiment, k: int, priors: Priors = Priors(), seed: int = 12345, max_iter: int = 200, algorithm: str = "EM", stop_iter: int = 10) -> Model:
+    """EM with each step one join and two aggregations; labels are written between steps, which cuts their lineage. It
+    ends when a step brings no better likelihood. Gibbs: all cells draw at once from their conditionals given the labels
+    of the step before, which approximates a sequential sweep; it ends after stop_iter steps without a better one."""
+    idle = 0
     tables = Tables(x.counts.sparkSession)
     params = {**x.params, **priors.__dict__, "K": k}
     start = x.cells.drop("z").withColumn("z", (F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(k)) + 1).cast("int"))
     now = replace(x, cells=tables.save(start, "cells0"), params=params)
     history, best = [likelihood.log_likelihood(now, "c")], now.cells
     for i in range(1, max_iter + 1):
-        labels = rank.best_label(likelihood.cell_scores(now, "c"), "cell_id")
+        if algorithm == "EM":
+            labels = rank.best_label(likelihood.cell_scores(now, "c"), "cell_id")
+        else:
+            labels = rank.drawn_label(likelihood.cell_conditional(now), "cell_id", seed=seed + i)
         now = replace(now, cells=tables.save(now.cells.drop("z").join(labels, "cell_id"), f"cells{i}"))
         value = likelihood.log_likelihood(now, "c")
         history.append(value)
         if value <= max(history[:-1]):
-            break
-        best = now.cells
+            idle += 1
+            if algorithm == "EM" or idle >= stop_iter:
+                break
+            continue
+        best, idle = now.cells, 0
     return Model("c", params, max(history), history, z=best.select("cell_id", "z"))
 
 

@@ -359,36 +359,65 @@ def best_single_split(labels: np.ndarray, divide, likelihood, least: int = 3) ->
     return labels, value
 
 
-def complete_order(distance: np.ndarray, method: str = "complete") -> np.ndarray:
-    """Leaf order of agglomerative clustering: complete, single, average or ward.D2 linkage."""
+#: Linkages that work on squared distances.
+SQUARED = ("ward.D2", "centroid", "median")
+
+
+def _linked(method: str, x: float, y: float, ab: float, na: int, nb: int, nc: int) -> float:
+    """The distance of a group to the union of two others."""
+    n = na + nb
+    if method == "complete":
+        return max(x, y)
+    if method == "single":
+        return min(x, y)
+    if method == "average":
+        return (na * x + nb * y) / n
+    if method == "mcquitty":
+        return (x + y) / 2
+    if method in ("ward.D", "ward.D2"):
+        return ((na + nc) * x + (nb + nc) * y - nc * ab) / (n + nc)
+    if method == "centroid":
+        return (na * x + nb * y) / n - na * nb * ab / n**2
+    if method == "median":
+        return (x + y) / 2 - ab / 4
+    raise ValueError(f"unknown linkage {method!r}")
+
+
+def agglomerated(distance: np.ndarray, method: str = "complete", groups: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf order of agglomerative clustering, and the group of each item when `groups` are left, numbered along the
+    order. method: complete, single, average, mcquitty, ward.D, ward.D2, centroid or median."""
     n = len(distance)
-    d = distance.astype(float).copy()
-    if method == "ward.D2":
-        d = d**2
+    d = distance.astype(float) ** (2 if method in SQUARED else 1)
     np.fill_diagonal(d, np.inf)
-    leaves, size, live = {i: [i] for i in range(n)}, dict.fromkeys(range(n), 1), set(range(n))
+    leaves, live, cut = {i: [i] for i in range(n)}, set(range(n)), None
     while len(live) > 1:
+        if groups is not None and len(live) == groups:
+            cut = {i: set(leaves[i]) for i in live}
         idx = sorted(live)
         sub = d[np.ix_(idx, idx)]
         a, b = divmod(int(sub.argmin()), len(idx))
         a, b = sorted((idx[a], idx[b]))
         for c in live - {a, b}:
-            x, y = d[a, c], d[b, c]
-            if method == "complete":
-                v = max(x, y)
-            elif method == "single":
-                v = min(x, y)
-            elif method == "average":
-                v = (size[a] * x + size[b] * y) / (size[a] + size[b])
-            elif method == "ward.D2":
-                v = ((size[a] + size[c]) * x + (size[b] + size[c]) * y - size[c] * d[a, b]) / (size[a] + size[b] + size[c])
-            else:
-                raise ValueError(f"unknown linkage {method!r}")
-            d[a, c] = d[c, a] = v
+            d[a, c] = d[c, a] = _linked(method, d[a, c], d[b, c], d[a, b], len(leaves[a]), len(leaves[b]), len(leaves[c]))
         leaves[a] += leaves.pop(b)
-        size[a] += size[b]
         live.remove(b)
-    return np.array(leaves[live.pop()])
+    order = np.array(leaves[live.pop()]) if n else np.zeros(0, int)
+    member = np.zeros(n, int)
+    if cut:
+        names = sorted(cut, key=lambda g: min(np.flatnonzero(np.isin(order, list(cut[g])))))
+        for k, g in enumerate(names):
+            member[list(cut[g])] = k
+    return order, member
+
+
+def complete_order(distance: np.ndarray, method: str = "complete") -> np.ndarray:
+    return agglomerated(distance, method)[0]
+
+
+def gaps(distance: np.ndarray, groups: int, method: str = "complete") -> list[int]:
+    """After how many leaves of the order one of `groups` groups ends and the next begins."""
+    order, member = agglomerated(distance, method, groups)
+    return [int(i) + 1 for i in np.flatnonzero(np.diff(member[order]))]
 
 
 def cosine_distance(columns: np.ndarray) -> np.ndarray:

@@ -45,6 +45,18 @@ def test_distributed_cells_keep_their_best(planted):
     assert m.log_lik == max(m.history) >= m.history[0]
 
 
+def test_parallel_gibbs_improves(planted):
+    m = fits.cluster_cells_distributed(planted[0], 3, max_iter=4, algorithm="Gibbs")
+    assert m.log_lik == max(m.history) > m.history[0]
+
+
+def test_subset_of_items(planted):
+    from countloom.operators.filters import subset_items
+
+    e = subset_items(planted[0], [1, 2], [3, 4, 5])
+    assert e.features.count() == 2 and e.cells.count() == 3 and e.counts.where("feature_id > 2 OR cell_id > 5").isEmpty()
+
+
 def test_features(planted):
     e, _, _, y = planted
     m = fits.cluster_features(e, 4, chains=2, init="random", max_iter=10)
@@ -104,5 +116,11 @@ def test_leaf_order_and_smoothing():
     d = np.array([[0, 9, 1], [9, 0, 8], [1, 8, 0.0]])
     order = kernels.complete_order(d).tolist()
     assert sorted(order) == [0, 1, 2] and abs(order.index(0) - order.index(2)) == 1
+    for method in ("single", "average", "mcquitty", "ward.D", "ward.D2", "centroid", "median"):
+        assert sorted(kernels.complete_order(d, method).tolist()) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        kernels.complete_order(d, "nearest")
+    points = np.array([0.0, 0.1, 5.0, 5.1, 9.0])
+    assert kernels.gaps(abs(points[:, None] - points), 3) in ([2, 4], [1, 3], [2, 3])
     v = np.linspace(0, 1, 12)
     assert np.allclose(kernels.smooth(v), v, atol=1e-6)
