@@ -122,7 +122,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(rows, "node long, g1 long, shingles array<long>")
 
 
-def prefixes(sets: DataFrame, percent: int, counters: int = 1 << 20) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int, counters: int = 1 << 18) -> DataFrame:
     """(node, n, token, pos): the shingles of each set that a linked larger or smaller set can share first. They are in
     order of frequency, as counted in `counters` buckets of hashes: any order is exact, this one keeps groups small."""
     slot = F.pmod(F.col("s"), F.lit(counters)).cast("int").alias("slot")
@@ -220,11 +220,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, width:
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one of least id, once if it is repeated."""
+    """docs with one row of each group of near duplicates: the one of least id, once if it is repeated (rows of one id are
+    one document). Rows without an id all stay."""
     kept = near_duplicates(docs, scratch, **how).where("kept").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("__first", first).where("__first = 1").drop("__first")
+    return rows.withColumn("__first", first).where("__first = 1").drop("__first").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Text bytes that are worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def table(pattern_bytes: list[int]) -> np.ndarray:
