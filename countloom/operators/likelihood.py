@@ -91,7 +91,12 @@ def cell_scores(x: Experiment, model: str, counts: DataFrame | None = None) -> D
     else:
         psi_ = _labels_by(view, "module", "feature_id", "y", ("long", "int"), "psi")
         logs = psi_.join(_labels_by(view, "cellPopulation", "y", "z", ("int", "int"), "phi"), "y").select("feature_id", "z", F.log(F.col("psi") * F.col("phi")).alias("p"))
-    inner = counts.join(logs, "feature_id").groupBy("cell_id", "z").agg(F.sum(F.col("n") * F.col("p")).alias("score"))
+    # a row of K logs for each feature and K sums for each cell: an entry is read once, not once for every cluster
+    k = x.params["K"]
+    rows = logs.groupBy("feature_id").agg(F.map_from_entries(F.collect_list(F.struct("z", "p"))).alias("p"))  # K entries
+    rows = rows.select("feature_id", F.array(*[F.col("p")[z] for z in range(1, k + 1)]).alias("p"))
+    sums = counts.join(rows, "feature_id").groupBy("cell_id").agg(*[F.sum(F.col("n") * F.col("p")[z]).alias(f"s{z}") for z in range(k)])
+    inner = sums.select("cell_id", F.posexplode(F.array(*[f"s{z}" for z in range(k)])).alias("at", "score")).select("cell_id", (F.col("at") + 1).alias("z"), "score")
     return inner.join(x.cells.select("cell_id", "sample"), "cell_id").join(log_theta, ["z", "sample"]).select("cell_id", "z", (F.col("score") + F.col("theta")).alias("score"))
 
 
