@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from countloom.llm import debruijn, decontaminate, jpeg, langid, minhash, mixing, sharding, suffixes, toxicity, urls
+from countloom.llm import debruijn, decontaminate, jpeg, langid, minhash, mixing, oracles, sharding, suffixes, toxicity, urls
 
 
 def queries():
@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_urls": urls.ORACLE}
+    return {"op1_minhash": oracles.MINHASH, "op4_decontaminate": oracles.DECONTAMINATE, "op6_debruijn": oracles.DEBRUIJN, "op7_urls": urls.ORACLE}
