@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +49,29 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, and its size counts for its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def fitted(sample: DataFrame, build: Callable[[pa.Table], object]) -> object | None:
+    """What build() makes of a sample of bounded size, in one task: the driver sees neither the sample nor what training
+    takes, only the model. None for an empty sample."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        model = pickle.dumps(build(pa.Table.from_batches(held)) if held else None)
+        del held
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    got = sample.repartition(1).mapInArrow(task, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else None
+
+
 def text_keys(text: Column, names: tuple[str, str] = ("t1", "t2")) -> list[Column]:
     """128 bits that stand for a whole text; null texts count as empty."""
     t = F.coalesce(text, F.lit(""))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from countloom.llm.common import fitted
 from countloom.llm.words import U, Words, mix, runs_of, slices, table
 
 NOT_LETTER = table([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -156,24 +157,27 @@ def fit(texts: dict[str, list[bytes]], words: int, grams: int) -> Model:
     return Model(languages, keys, logs(table_), gram_keys, logs(gram_table))
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int, languages: int, longest: int) -> dict[str, list[bytes]]:
-    """At most per_language texts of each of the most frequent languages."""
+def sample(docs: DataFrame, learn: Column, per_language: int, languages: int, longest: int) -> DataFrame:
+    """At most per_language texts of each of the most frequent languages (lang, text)."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = rows.join(F.broadcast(names), "lang", "left_semi").where(F.octet_length("text") <= longest).select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_language)
     ids = ids.select(F.col("doc_id").alias("d"), F.col("lang").alias("l")).distinct()
     chosen = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").where(F.octet_length("text") <= longest)
+    return chosen.select("lang", "text")
+
+
+def build(table: pa.Table, words: int, grams: int) -> Model:
     out: dict[str, list[bytes]] = {}
-    for batch in chosen.select("lang", "text").toArrow().to_batches():
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out.setdefault(name, []).append(text.encode() + b" ")
-    return out
+    for name, text in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
+        out.setdefault(name, []).append(text.encode() + b" ")
+    return fit(out, words, grams)
 
 
 def identify(docs: DataFrame, learn: Column, per_language: int = 2000, languages: int = 64, longest: int = 1 << 16, words: int = 200_000, grams: int = 300_000) -> DataFrame:
     """(doc_id, lang_pred, score) of each document; the model learns from the rows where `learn` holds."""
-    model = fit(texts, words, grams) if (texts := sample(docs, learn, per_language, languages, longest)) else None
+    model = fitted(sample(docs, learn, per_language, languages, longest), lambda table: build(table, words, grams))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,7 +143,7 @@ def test_automaton_by_brute_force():
         docs = [" ".join(rng.choice(letters + "z") for _ in range(rng.randint(0, 40))) for _ in range(5)]
         m = decontaminate.Matcher(list(range(len(items))), items, window)
         off = np.cumsum([0, *map(len, docs)])
-        w, hit, found = m.slice(np.frombuffer("".join(docs).encode(), np.uint8), off) if all(docs) or True else None
+        w, hit, found = m.slice(np.frombuffer("".join(docs).encode(), np.uint8), off)
         for d, doc in enumerate(docs):
             x, marks, names = doc.split(), [False] * len(doc.split()), set()
             for k, item in enumerate(items):
@@ -373,7 +373,8 @@ def test_score_looks_at_text_only(spark):
     docs, labels = toxic_corpus(spark, 200)
     a = toxicity.scored(docs, labels, F.lit(True))
     seen = {r.text: r.toxic_score for r in a.collect()}
-    model = toxicity.fit(*toxicity.sample(docs, labels, F.lit(True), 3000, 1 << 16))
+    rows, count = toxicity.sample(docs, labels, F.lit(True), 3000, 1 << 16)
+    model = toxicity.build(rows.toArrow(), count, 6000)
     for text in list(seen)[:40]:
         if text:
             s = model.score(model.projected(), np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
