@@ -11,7 +11,7 @@ that are not yet connected are compared with further hubs, those of most links f
 still unconnected after `rounds` hubs go through an exact prefix join: with a set's shingles in order of frequency, rare
 ones first, two linked sets share a shingle within their first few, so that texts with a passage in common and much text
 of their own never meet. Every link is confirmed on the full sets of 64-bit shingle hashes.
-With bands of 4 rows and 32 bands a pair of similarity 0.85 is missed with probability 6e-11, one of 0.8 with 5e-8.
+With bands of 4 rows and 32 bands, and slots taken as independent, a pair of similarity 0.85 is missed with probability 6e-11, one of 0.8 with 5e-8.
 
 Edge cases: null texts and texts without words have an empty set, link with nothing and are kept; ties and repeated rows
 fall into one class; rows without an id get no component and are not kept; other columns are not looked at.
