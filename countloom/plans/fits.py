@@ -46,7 +46,7 @@ class TooLarge(ValueError):
 class Small:
     """A matrix on the driver, of checked size, with the ids of its rows and columns."""
 
-    x: np.ndarray
+    x: kernels.Sparse
     features: np.ndarray
     cells: np.ndarray
     samples: np.ndarray
@@ -56,19 +56,18 @@ class Small:
         return spark.createDataFrame(pd.DataFrame({column: ids, label: np.asarray(values, np.int32)}))
 
 
-def small(x: Experiment, limit: int = LIMIT) -> Small:
-    """The matrix, if it has at most `limit` entries and cells."""
+def small(x: Experiment, limit: int | None = None) -> Small:
+    """The matrix by its entries, if these are at most `limit` (LIMIT), and its cells and features too."""
+    limit = LIMIT if limit is None else limit
     filters.validate(x.counts, x.features, x.cells)
     size = x.counts.count()
     cells = x.cells.select("cell_id", "sample").orderBy("cell_id")
-    shape = (x.features.count(), cells.count())
-    if size > limit or shape[0] * shape[1] > 8 * limit:
-        raise TooLarge(f"{size} entries of {shape[0]} features and {shape[1]} cells are too many for one task")
+    if max(size, cells.count()) > limit:
+        raise TooLarge(f"{size} entries are too many for one task")
     rows, c = x.counts.toPandas(), cells.toPandas()
     features, i = np.unique(rows.feature_id.to_numpy(), return_inverse=True)
     ids = c.cell_id.to_numpy()
-    out = np.zeros((len(features), len(ids)), np.int64)
-    out[i, np.searchsorted(ids, rows.cell_id.to_numpy())] = rows.n.to_numpy()
+    out = kernels.Sparse(i, np.searchsorted(ids, rows.cell_id.to_numpy()), rows.n.to_numpy().astype(np.int64), (len(features), len(ids)))
     return Small(out, features, ids, np.unique(c["sample"].to_numpy(), return_inverse=True)[1])
 
 
@@ -231,7 +230,7 @@ def resampled_perplexity(spark: SparkSession, matrix: Small, kind: str, runs: Da
                 y = None if r.y is None else np.asarray(r.y) - 1
                 for i in range(max(resamples, 1)):
                     rng = np.random.default_rng([seed, i])
-                    x = np.stack([rng.multinomial(c.sum(), c / c.sum()) for c in m.x.T], axis=1) if resamples else m.x
+                    x = redrawn(m.x, rng) if resamples else m.x
                     out.append((r.index_, r.K, r.L, i + 1, perplexity_of(m, kind, z, y, int(r.K), int(r.L), priors, x)))
             yield pd.DataFrame(out, columns=["index", "K", "L", "resample", "perplexity"])
 
@@ -239,16 +238,23 @@ def resampled_perplexity(spark: SparkSession, matrix: Small, kind: str, runs: Da
     return table.mapInPandas(score, "index int, K int, L int, resample int, perplexity double")
 
 
-def perplexity_of(m: Small, kind: str, z, y, k: int, modules: int, p: Priors, x: np.ndarray) -> float:
+def redrawn(x: kernels.Sparse, rng: np.random.Generator) -> kernels.Sparse:
+    """Each cell drawn again with its own total and proportions; what it has none of is never drawn."""
+    own = [x.column(c)[1] for c in range(x.shape[1])]
+    values = np.concatenate([rng.multinomial(v.sum(), v / v.sum()) for v in own])
+    return kernels.Sparse(x.rows, x.columns, values, x.shape)
+
+
+def perplexity_of(m: Small, kind: str, z, y, k: int, modules: int, p: Priors, x: kernels.Sparse) -> float:
     share = lambda a: a / a.sum(axis=0)
-    total = x.sum()
+    total = x.values.sum()
     if y is not None:
         n_g = m.x.sum(axis=1)
         n_l = np.bincount(y, n_g + p.delta, modules)
         psi = (n_g + p.delta) / n_l[y]
     if kind == "g":
         phi = share(kernels.group_sums(m.x.T, y, modules).T + p.beta)
-        return float(np.exp(-(x * np.log(psi[:, None] * phi[y])).sum() / total))
+        return float(np.exp(-(x.values * np.log(psi[x.rows] * phi[y[x.rows], x.columns])).sum() / total))
     theta = np.log(share(kernels.cross(z, m.samples, k, int(m.samples.max()) + 1) + p.alpha))
     if kind == "c":
         logs = np.log(share(kernels.group_sums(m.x, z, k) + p.beta))

@@ -1,6 +1,6 @@
 """Fits on matrices that one task can hold, in numpy: sequential Gibbs sweeps, splits, chains.
 
-A matrix is features x cells of non-negative integers. Labels are 0-based here and 1-based outside. log-gamma of counts
+A matrix is features x cells of non-negative integers, dense or Sparse. Labels are 0-based here and 1-based outside. log-gamma of counts
 comes from tables, as counts are integers.
 """
 
@@ -13,21 +13,78 @@ import numpy as np
 
 
 class LogGamma:
-    """lgamma(n + prior) for integers n >= 0, from a table that grows."""
+    """lgamma(n + prior) for integers n >= 0, from a table that grows up to TOP, and by Stirling's series beyond."""
+
+    TOP = 1 << 16
 
     def __init__(self, prior: float):
         self.prior, self.table = prior, np.array([math.lgamma(prior)])
 
     def __call__(self, n: np.ndarray | int) -> np.ndarray:
         top = int(np.max(n)) if np.size(n) else 0
-        if top >= len(self.table):
-            k = np.arange(len(self.table), max(top + 1, 2 * len(self.table)))
+        if top >= len(self.table) and len(self.table) < self.TOP:
+            k = np.arange(len(self.table), min(max(top + 1, 2 * len(self.table)), self.TOP))
             self.table = np.concatenate([self.table, self.table[-1] + np.cumsum(np.log(k - 1 + self.prior))])
-        return self.table[n]
-
-
-def group_sums(x: np.ndarray, labels: np.ndarray, levels: int) -> np.ndarray:
+        if top < len(self.table):
+            return self.table[n]
+        v = np.maximum(n, self.TOP) + self.prior
+        far = (v - 0.5) * np.log(v) - v + 0.5 * math.log(2 * math.pi) + 1 / (12 * v) - 1 / (360 * v**3)
+        return np.where(np.asarray(n) < self.TOP, self.table[np.minimum(n, self.TOP - 1)], far)
+
+
+class Sparse:
+    """A matrix held by its entries in order of column and row: its size goes by entries, not by positions."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        order = np.lexsort((rows, columns))
+        self.rows, self.columns, self.values, self.shape = rows[order].astype(np.int32), columns[order].astype(np.int32), values[order], shape
+        self.first = np.searchsorted(self.columns, np.arange(shape[1] + 1))
+        self._turned: Sparse | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_turned": None}
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        if self._turned is None:
+            self._turned = Sparse(self.columns, self.rows, self.values, self.shape[::-1])
+            self._turned._turned = self
+        return self._turned
+
+    def column(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.first[c], self.first[c + 1])
+        return self.rows[own], self.values[own]
+
+    def __getitem__(self, key) -> Sparse:
+        """Whole rows x[members], or whole columns x[:, members]."""
+        if not isinstance(key, tuple):
+            return self.T[:, key].T
+        members = np.asarray(key[1])
+        size = np.diff(self.first)[members]
+        at = np.repeat(self.first[:-1][members] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return Sparse(self.rows[at], np.repeat(np.arange(len(members)), size), self.values[at], (self.shape[0], len(members)))
+
+    def sum(self, axis: int) -> np.ndarray:
+        of, n = (self.columns, self.shape[1]) if axis == 0 else (self.rows, self.shape[0])
+        return np.bincount(of, self.values, n).astype(np.int64)
+
+    def __matmul__(self, dense: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.rows, self.values * dense[self.columns, j], self.shape[0]) for j in range(dense.shape[1])], axis=1)
+
+
+def column(x: np.ndarray | Sparse, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values of the entries of a column."""
+    if isinstance(x, Sparse):
+        return x.column(c)
+    at = np.flatnonzero(x[:, c])
+    return at, x[at, c]
+
+
+def group_sums(x: np.ndarray | Sparse, labels: np.ndarray, levels: int) -> np.ndarray:
     """Columns of x summed by label."""
+    if isinstance(x, Sparse):
+        at = x.rows.astype(np.int64) * levels + labels[x.columns]
+        return np.bincount(at, x.values, x.shape[0] * levels).astype(np.int64).reshape(x.shape[0], levels)
     out = np.zeros((x.shape[0], levels), x.dtype)
     np.add.at(out.T, labels, x.T)
     return out
@@ -103,8 +160,8 @@ def cell_conditionals(x: np.ndarray, s: np.ndarray, z: np.ndarray, k: int, p: Pr
     lg, lw = LogGamma(p.beta), LogGamma(p.beta * x.shape[0])
     out = np.zeros((x.shape[1], k))
     for c in rng.permutation(x.shape[1]) if rng is not None else range(x.shape[1]):
-        at = np.flatnonzero(x[:, c])
-        own, n = x[at, c], int(x[:, c].sum())
+        at, own = column(x, c)
+        n = int(own.sum())
         sums[at, z[c]] -= own
         table[z[c], s[c]] -= 1
         total[z[c]] -= n
@@ -123,20 +180,16 @@ def feature_conditionals(x: np.ndarray, y: np.ndarray, modules: int, p: Priors,
     size, total = np.bincount(y, minlength=modules) + 1, sums.sum(axis=0)
     lg, lgam = LogGamma(p.beta), LogGamma(p.gamma)
     out = np.zeros((x.shape[0], modules))
-    lgd = [None, *(LogGamma(p.delta * a) for a in range(1, x.shape[0] + 4))] if x.shape[0] <= 4096 else None
-    lgv = np.vectorize(math.lgamma)
+    lgv, turned = np.vectorize(math.lgamma, otypes=[float]), x.T
     for g in rng.permutation(x.shape[0]) if rng is not None else range(x.shape[0]):
-        at = np.flatnonzero(x[g])
-        own, n = x[g, at], int(x[g].sum())
+        at, own = column(turned, g)
+        n = int(own.sum())
         sums[at, y[g]] -= own
         size[y[g]] -= 1
         total[y[g]] -= n
         score = (lg(sums[at] + own[:, None]) - lg(sums[at])).sum(axis=0) + lgam(size + 1) - lgam(size)
         score += lgv((size + 1) * p.delta) - lgv(size * p.delta)
-        if lgd is not None:
-            score += np.array([lgd[a](b) - lgd[a + 1](b + n) for a, b in zip(size.tolist(), total.tolist(), strict=True)])
-        else:
-            score += lgv(total + size * p.delta) - lgv(total + n + (size + 1) * p.delta)
+        score += lgv(total + size * p.delta) - lgv(total + n + (size + 1) * p.delta)
         out[g] = score
         if rng is not None:
             y[g] = softmax_draw(score, rng)

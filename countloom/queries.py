@@ -554,15 +554,9 @@ def _(x):
 # rows only: fits, searches, simulations
 
 
-def _sub(x: matrix.Experiment) -> matrix.Experiment:
-    """Cells and features collapsed to groups of keys: a matrix that every scale has in full."""
-    counts = x.counts.groupBy((F.col("feature_id") % 60).alias("feature_id"), (F.col("cell_id") % 80).alias("cell_id")).agg(F.sum("n").alias("n"))
-    return matrix.Experiment(counts, counts.select("cell_id").distinct().withColumn("sample", F.concat(F.lit("s"), F.col("cell_id") % 2)), counts.select("feature_id").distinct(), dict(x.params))
-
-
 @query("cluster_cells_fit")
 def _(x):
-    return fits.cluster_cells(_sub(x), 4, chains=2).z
+    return fits.cluster_cells(x, 4, chains=2).z
 
 
 @query("cluster_cells_distributed")
@@ -572,28 +566,28 @@ def _(x):
 
 @query("cluster_features_fit")
 def _(x):
-    return fits.cluster_features(_sub(x), 4, chains=1, init="random", max_iter=5, split_on=0, split_last=False).y
+    return fits.cluster_features(x, 4, chains=1, init="random", max_iter=5, split_on=0, split_last=False).y
 
 
 @query("cluster_both_fit")
 def _(x):
-    m = fits.cluster_both(_sub(x), 3, 4, chains=1, init="random", max_iter=4, split_on=0, split_last=False)
+    m = fits.cluster_both(x, 3, 4, chains=1, init="random", max_iter=4, split_on=0, split_last=False)
     return m.z.select(F.lit("z").alias("axis"), F.col("cell_id").alias("id"), F.col("z").alias("label")).unionByName(m.y.select(F.lit("y").alias("axis"), F.col("feature_id").alias("id"), F.col("y").alias("label")))
 
 
 @query("grid_search")
 def _(x):
-    return fits.grid_search(_sub(x), "c", {"K": [2, 3, 4]}, chains=2).select("K", "L", "chain", "log_lik", "mean_perplexity")
+    return fits.grid_search(x, "c", {"K": [2, 3, 4]}, chains=2).select("K", "L", "chain", "log_lik", "mean_perplexity")
 
 
 @query("recursive_split_cells")
 def _(x):
-    return fits.recursive_split(_sub(x), "z", 2, 4)
+    return fits.recursive_split(x, "z", 2, 4)
 
 
 @query("recursive_split_modules")
 def _(x):
-    return fits.recursive_split(_sub(x), "y", 2, 4, temp=20)
+    return fits.recursive_split(x, "y", 2, 4, temp=20)
 
 
 @query("ambient_fit")
@@ -621,17 +615,17 @@ def _(x):
 
 @query("embedding_graph")
 def _(x):
-    return embed.embedding(_sub(x), "graph", 10, rounds=50)
+    return embed.embedding(x, "graph", 10, rounds=50)
 
 
 @query("embedding_neighbours")
 def _(x):
-    return embed.embedding(_sub(x), "neighbours", 10, rounds=100)
+    return embed.embedding(x, "neighbours", 10, rounds=100)
 
 
 @query("resampled_perplexity")
 def _(x):
-    m = fits.small(_sub(x))
+    m = fits.small(x)
     s = x.counts.sparkSession
     return fits.resampled_perplexity(s, m, "c", fits.run_all(s, m, "c", fits.grid({"K": [2, 3]}, 1, 5), fits.Priors(), max_iter=5), resamples=2)
 

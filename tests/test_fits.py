@@ -124,3 +124,32 @@ def test_leaf_order_and_smoothing():
     assert kernels.gaps(abs(points[:, None] - points), 3) in ([2, 4], [1, 3], [2, 3])
     v = np.linspace(0, 1, 12)
     assert np.allclose(kernels.smooth(v), v, atol=1e-6)
+
+
+def test_registered_fits_see_every_item(spark):
+    import countloom.queries as q
+
+    sf = "/root/testdata/sf0.001"
+    x = q.x_of(spark, sf)
+    cells, features = x.cells.count(), x.features.count()
+    known = q.queries()
+    assert known["cluster_cells_fit"](spark, sf).count() == cells and known["cluster_features_fit"](spark, sf).count() == features
+    assert known["cluster_both_fit"](spark, sf).count() == cells + features
+    assert {len(r.z) for r in known["recursive_split_cells"](spark, sf).collect()} == {cells}
+
+
+def test_sparse_kernels_equal_dense_ones(planted):
+    _, x, z, _ = planted
+    s, (i, j) = np.arange(60) % 2, np.nonzero(x)
+    sparse = kernels.Sparse(i, j, x[i, j], x.shape)
+    for algorithm in ("EM", "Gibbs"):
+        a, b = (kernels.fit_both(m, s, 3, 4, Priors(), np.random.default_rng(1), algorithm, max_iter=11) for m in (x, sparse))
+        assert (a.z == b.z).all() and (a.y == b.y).all() and a.log_lik == pytest.approx(b.log_lik)
+
+
+def test_a_wide_matrix_is_fitted_whole(spark):
+    n = 20_000  # 400 million positions
+    counts = spark.range(n).select(F.col("id").alias("feature_id"), F.explode(F.array("id", (F.col("id") + 2) % n)).alias("cell_id"), F.lit(3).cast("long").alias("n"))
+    x = matrix.Experiment(counts, spark.range(n).select(F.col("id").alias("cell_id"), F.lit("s").alias("sample")), spark.range(n).select(F.col("id").alias("feature_id")), {})
+    m = fits.small(x)
+    assert m.x.shape == (n, n) and m.x.values.sum() == 6 * n
