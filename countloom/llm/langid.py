@@ -4,9 +4,10 @@ A word that the model knows scores its log frequency in each language. A word it
 n-grams, from NGRAMS[0] characters down to one: at each place the longest known n-gram that begins there counts. Words
 are runs of ASCII letters and non-ASCII characters, with a space on either side for the n-grams.
 
-The model is fitted on a bounded sample: at most `per_language` texts (those of least hash, up to `longest` bytes) of
-each of the `languages` most frequent languages; it holds at most `words` words and `grams` n-grams, so what is sent to
-the executors is bounded too. Prediction reads every text whole.
+The model is fitted on a bounded sample of every language: at most `per_language` texts each (those of least hash, up to
+`longest` bytes), and from SHARED languages on fewer, so that their number stays, but never below FEWEST. It holds at most
+`words` words and `grams` n-grams, dealt out evenly by language, but LEAST of each for a language if that is more. Scores are
+kept for the languages that have a word only. Prediction reads every text whole.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; if there is nothing to learn from, every text
 is; ties go to the language that comes first by code point; repeated rows get equal results; other columns are not
@@ -29,6 +30,8 @@ from countloom.llm.words import U, Words, mix, runs_of, slices, table
 
 NOT_LETTER = table([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 NGRAMS = (5, 4, 3, 2, 1)
+SHARED, FEWEST, LEAST = 64, 50, 5000
+SCORES = 8_000_000  # scores that are spread out at once
 _M = np.random.default_rng(11).integers(1, 1 << 62, 8, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
@@ -62,13 +65,36 @@ def places(words: list[bytes]) -> np.ndarray:
     return np.minimum(np.cumsum(text == 32) - 1, len(words) - 1)
 
 
+@dataclass
+class Scores:
+    """Log frequencies by language of words or n-grams. A key has entries for the languages that it occurs in; in all
+    others it scores `base`."""
+
+    keys: np.ndarray  # sorted hashes
+    first: np.ndarray
+    of: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes are, and whether they are there."""
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """A row of scores by language for each place."""
+        out = np.tile(self.base, (len(at), 1))
+        size = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(at)), size), self.of[entry]] += self.gain[entry]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: np.ndarray  # sorted hashes
-    word_score: np.ndarray  # a row a word
-    grams: np.ndarray
-    gram_score: np.ndarray
+    words: Scores
+    grams: Scores
 
     def unseen(self, words: list[bytes]) -> np.ndarray:
         """Scores of words by backoff."""
@@ -76,58 +102,72 @@ class Model:
         best = np.full((len(of), len(self.languages)), 0, np.float32)
         open_ = np.ones(len(of), bool)
         for h, fits in grams_of(words):
-            at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
-            now = open_ & fits & (self.grams[at] == h) if len(self.grams) else np.zeros(len(of), bool)
-            best[now] = self.gram_score[at[now]]
+            at, there = self.grams.find(h)
+            now = open_ & fits & there
+            best[now] = self.grams.rows(at[now])
             open_ &= ~now
         out = np.zeros((len(words), len(self.languages)), np.float32)
         for j in range(out.shape[1]):
             out[:, j] = np.bincount(of, best[:, j], len(words))
         return out / 2  # n-grams overlap
 
+    def sums(self, w: Words, begin: int, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Scores by language of texts of `n` words each, which are those of `w` from `begin` on and hash to `h`."""
+        value = np.zeros((len(h), len(self.languages)), np.float32)
+        at, known = self.words.find(h)
+        value[known] = self.words.rows(at[known])
+        new = np.flatnonzero(~known)
+        if len(new):
+            _, one, back = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[one] + begin
+            own = [bytes(w.data[a:b]) for a, b in zip(w.start[one].tolist(), w.end[one].tolist(), strict=True)]
+            found, step = np.zeros((len(own), len(self.languages)), np.float32), max(SCORES // (16 * len(self.languages)), 1)
+            for i in range(0, len(own), step):
+                found[i : i + step] = self.unseen(own[i : i + step])
+            value[new] = found[back]
+        out, some = np.zeros((len(n), len(self.languages)), np.float64), n > 0
+        if some.any():
+            out[some] = np.add.reduceat(value, (np.cumsum(n) - n)[some], axis=0, dtype=np.float64)
+        return out
+
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language number and share of belief of each text."""
         w = Words(data, off, NOT_LETTER, lower=True)
         h = w.hashes()
         n = np.diff(w.first)
-        total = np.zeros((len(n), len(self.languages)), np.float64)
-        if len(h):
-            at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-            known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-            value = self.word_score[at] if len(self.words) else np.zeros((len(h), len(self.languages)), np.float32)
-            new = np.flatnonzero(~known)
-            if len(new):
-                _, one, back = np.unique(h[new], return_index=True, return_inverse=True)
-                raw = w.data.tobytes()
-                one = new[one]
-                own = [raw[a:b] for a, b in zip(w.start[one].tolist(), w.end[one].tolist(), strict=True)]
-                value[new] = self.unseen(own)[back]
-            some = n > 0
-            total[some] = np.add.reduceat(value, w.first[:-1][some], axis=0, dtype=np.float64)
-        best = total.argmax(axis=1)
-        total = (total - total.max(axis=1, keepdims=True)) / np.maximum(n / 16, 1)[:, None]
-        return best, 1 / np.exp(total).sum(axis=1)
-
-
-def counts(hashes: list[np.ndarray], weights: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` most frequent of some hashes by language: sorted hashes and a row of counts each."""
-    every = np.concatenate(hashes)
-    of = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+        best, belief = np.zeros(len(n), np.int64), np.ones(len(n))
+        turn = (w.first[:-1] + np.arange(len(n))) // max(SCORES // len(self.languages), 1)  # a group of texts at a time
+        ends = np.append(np.flatnonzero(np.diff(turn)) + 1, len(n)).tolist() if len(n) else []
+        a = 0
+        for b in ends:
+            i, j = int(w.first[a]), int(w.first[b])
+            total = self.sums(w, i, h[i:j], n[a:b])
+            best[a:b] = total.argmax(axis=1)
+            total = (total - total.max(axis=1, keepdims=True)) / np.maximum(n[a:b] / 16, 1)[:, None]
+            belief[a:b] = 1 / np.exp(total).sum(axis=1)
+            a = b
+        return best, belief
+
+
+def scores(hashes: list[np.ndarray], weights: list[np.ndarray], most: int) -> Scores:
+    """Hashes that occur twice or more, by language; if they are more than `most`, each language's most frequent ones."""
+    every, n = np.concatenate(hashes), np.concatenate(weights).astype(np.float64)
+    of = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(x) for x in hashes])
     keys, back = np.unique(every, return_inverse=True)
-    out = np.zeros((len(keys), len(hashes)), np.float64)
-    np.add.at(out, (back, of), np.concatenate(weights))
-    total = out.sum(axis=1)
-    keep = total >= 2
+    keep = np.bincount(back, n, len(keys)) >= 2
     if keep.sum() > most:
-        keep &= total >= np.partition(total, -most)[-most]
-    return keys[keep], out[keep]
-
-
-def logs(table_: np.ndarray) -> np.ndarray:
-    """Log frequencies by language, relative to their mean over the languages."""
+        chosen, share, end = np.zeros(len(keys), bool), max(most // len(hashes), LEAST), 0
+        for own in hashes:
+            begin, end = end, end + len(own)
+            mine = np.flatnonzero(keep[back[begin:end]]) + begin
+            chosen[back[mine[np.argsort(-n[mine], kind="stable")[:share]]]] = True
+        keep = chosen
+    entry = np.flatnonzero(keep[back])
+    entry = entry[np.argsort(back[entry], kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(back[entry], minlength=len(keys))[keep])]).astype(np.int64)
     smooth = 0.1
-    p = np.log((table_ + smooth) / (table_.sum(axis=0) + smooth * (len(table_) + 1)))
-    return (p - p.mean(axis=1, keepdims=True)).astype(np.float32)
+    base = np.log(smooth / (np.bincount(of[entry], n[entry], len(hashes)) + smooth * (keep.sum() + 1)))
+    return Scores(keys[keep], first, of[entry], np.log((n[entry] + smooth) / smooth).astype(np.float32), base.astype(np.float32))
 
 
 def fit(texts: dict[str, list[bytes]], words: int, grams: int) -> Model:
@@ -152,17 +192,17 @@ def fit(texts: dict[str, list[bytes]], words: int, grams: int) -> Model:
         g, n = np.unique(np.concatenate(found), return_counts=True)
         gram_h.append(g)
         gram_n.append(n)
-    keys, table_ = counts(word_h, word_n, words)
-    gram_keys, gram_table = counts(gram_h, gram_n, grams)
-    return Model(languages, keys, logs(table_), gram_keys, logs(gram_table))
+    return Model(languages, scores(word_h, word_n, words), scores(gram_h, gram_n, grams))
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int, languages: int, longest: int) -> DataFrame:
-    """At most per_language texts of each of the most frequent languages (lang, text)."""
+def sample(docs: DataFrame, learn: Column, per_language: int, longest: int) -> DataFrame:
+    """At most per_language texts of each language, fewer if there are many languages (lang, text)."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.join(F.broadcast(names), "lang", "left_semi").where(F.octet_length("text") <= longest).select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_language)
+    ids = rows.where(F.octet_length("text") <= longest).select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_language)
+    names = rows.agg(F.count_distinct("lang").alias("names"))  # one row
+    most = F.greatest(F.floor(F.lit(SHARED * per_language) / F.col("names")), F.lit(FEWEST))
+    ids = ids.crossJoin(F.broadcast(names)).where(F.col("turn") <= most)
     ids = ids.select(F.col("doc_id").alias("d"), F.col("lang").alias("l")).distinct()
     chosen = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").where(F.octet_length("text") <= longest)
     return chosen.select("lang", "text")
@@ -175,9 +215,9 @@ def build(table: pa.Table, words: int, grams: int) -> Model:
     return fit(out, words, grams)
 
 
-def identify(docs: DataFrame, learn: Column, per_language: int = 2000, languages: int = 64, longest: int = 1 << 16, words: int = 200_000, grams: int = 300_000) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, per_language: int = 2000, longest: int = 1 << 16, words: int = 200_000, grams: int = 300_000) -> DataFrame:
     """(doc_id, lang_pred, score) of each document; the model learns from the rows where `learn` holds."""
-    model = fitted(sample(docs, learn, per_language, languages, longest), lambda table: build(table, words, grams))
+    model = fitted(sample(docs, learn, per_language, longest), lambda table: build(table, words, grams))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

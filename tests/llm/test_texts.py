@@ -342,6 +342,20 @@ def test_language_with_nothing_to_learn(spark):
     assert langid.identify(docs.limit(0), F.lit(True)).isEmpty()
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SCORES", 2000)  # many groups of texts
+    monkeypatch.setattr(langid, "LEAST", 20)
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    tongues = {f"l{i:02}": letters[i * 8 : i * 8 + 8] for i in range(80)}
+    rows = [(0, "x", None)]
+    for i, (lang, syllables) in enumerate(tongues.items()):
+        rows += [(len(rows) + j, invented(rng, syllables, 12), lang) for j in range(3 if i >= 64 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(True), words=200, grams=200).collect()}
+    assert {i for i, _, lang in rows if lang is not None and got[i] != lang} == set()
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(6)
     bad, rows, labels = {"xa": ["zzkato", "zzmira"], "xb": ["qqver", "qqung"], "xc": ["idiot", "scum"]}, [], []
