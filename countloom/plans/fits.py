@@ -432,6 +432,7 @@ def components(x: Experiment, dims: int, features: int = 2000) -> DataFrame:
     top = [r[0] for r in top.orderBy(F.desc("spread"), "feature_id").limit(features).select("feature_id").collect()]  # at most `features` rows
     at = x.counts.sparkSession.createDataFrame(list(enumerate(sorted(top))), "at int, feature_id long")
     rows = values.join(F.broadcast(at), "feature_id").groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
+    rows = x.cells.select("cell_id").join(rows, "cell_id", "left")  # cells with none of these features too
     size = len(top)
 
     @F.pandas_udf("array<double>")
@@ -439,7 +440,8 @@ def components(x: Experiment, dims: int, features: int = 2000) -> DataFrame:
         out = []
         for entries in v:
             row = np.zeros(size)
-            row[[e["at"] for e in entries]] = [e["value"] for e in entries]
+            if entries is not None:
+                row[[e["at"] for e in entries]] = [e["value"] for e in entries]
             out.append(row)
         return pd.Series(out)
 

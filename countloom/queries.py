@@ -556,28 +556,28 @@ def _(x):
 
 @query("cluster_cells_fit")
 def _(x):
-    return fits.cluster_cells(x, 4, chains=2).z
+    return fits.cluster_cells(x, 4).z
 
 
 @query("cluster_cells_distributed")
 def _(x):
-    return fits.cluster_cells_distributed(x, K, max_iter=3).z
+    return fits.cluster_cells_distributed(x, K).z
 
 
 @query("cluster_features_fit")
 def _(x):
-    return fits.cluster_features(x, 4, chains=1, init="random", max_iter=5, split_on=0, split_last=False).y
+    return fits.cluster_features(x, 4).y
 
 
 @query("cluster_both_fit")
 def _(x):
-    m = fits.cluster_both(x, 3, 4, chains=1, init="random", max_iter=4, split_on=0, split_last=False)
+    m = fits.cluster_both(x, 3, 4)
     return m.z.select(F.lit("z").alias("axis"), F.col("cell_id").alias("id"), F.col("z").alias("label")).unionByName(m.y.select(F.lit("y").alias("axis"), F.col("feature_id").alias("id"), F.col("y").alias("label")))
 
 
 @query("grid_search")
 def _(x):
-    return fits.grid_search(x, "c", {"K": [2, 3, 4]}, chains=2).select("K", "L", "chain", "log_lik", "mean_perplexity")
+    return fits.grid_search(x, "c", {"K": [2, 3, 4]}).select("K", "L", "chain", "log_lik", "mean_perplexity")
 
 
 @query("recursive_split_cells")
@@ -587,12 +587,12 @@ def _(x):
 
 @query("recursive_split_modules")
 def _(x):
-    return fits.recursive_split(x, "y", 2, 4, temp=20)
+    return fits.recursive_split(x, "y", 2, 4)
 
 
 @query("ambient_fit")
 def _(x):
-    d = fits.remove_ambient(x, max_iter=3)
+    d = fits.remove_ambient(x)
     return d.cells.select("cell_id", "z", "theta", "contamination")
 
 
@@ -605,29 +605,29 @@ def _(x):
 def _(x):
     from pyspark.ml.functions import vector_to_array
 
-    return fits.components(x, 2, 200).select("cell_id", vector_to_array("pc").alias("pc"))
+    return fits.components(x, 2).select("cell_id", vector_to_array("pc").alias("pc"))
 
 
 @query("initial_clusters")
 def _(x):
-    return fits.initial_clusters(x, 200)
+    return fits.initial_clusters(x)
 
 
 @query("embedding_graph")
 def _(x):
-    return embed.embedding(x, "graph", 10, rounds=50)
+    return embed.embedding(x, "graph")
 
 
 @query("embedding_neighbours")
 def _(x):
-    return embed.embedding(x, "neighbours", 10, rounds=100)
+    return embed.embedding(x, "neighbours")
 
 
 @query("resampled_perplexity")
 def _(x):
     m = fits.small(x)
     s = x.counts.sparkSession
-    return fits.resampled_perplexity(s, m, "c", fits.run_all(s, m, "c", fits.grid({"K": [2, 3]}, 1, 5), fits.Priors(), max_iter=5), resamples=2)
+    return fits.resampled_perplexity(s, m, "c", fits.run_all(s, m, "c", fits.grid({"K": [2, 3]}, 1, 5), fits.Priors()), resamples=2)
 
 
 Q["simulate_cells"] = lambda s, d: simulate.simulate_cells(s, "cg").counts

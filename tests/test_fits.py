@@ -153,3 +153,26 @@ def test_a_wide_matrix_is_fitted_whole(spark):
     x = matrix.Experiment(counts, spark.range(n).select(F.col("id").alias("cell_id"), F.lit("s").alias("sample")), spark.range(n).select(F.col("id").alias("feature_id")), {})
     m = fits.small(x)
     assert m.x.shape == (n, n) and m.x.values.sum() == 6 * n
+
+
+def test_components_have_every_cell(planted):
+    e, x, _, _ = planted
+    got = fits.components(e, 1, features=1)
+    assert got.count() == 60 and (x > 0).all(axis=1).sum() < 40
+
+
+def test_registered_fits_are_not_cut_short(monkeypatch):
+    import countloom.queries as q
+
+    class Stop(Exception):
+        pass
+
+    def seen(*args, **how):
+        raise Stop(args[1:], how)
+
+    monkeypatch.setattr(q, "x_of", lambda spark, d: None)
+    for name, function, own in (("cluster_cells_fit", "cluster_cells", (4,)), ("cluster_cells_distributed", "cluster_cells_distributed", (q.K,)), ("cluster_features_fit", "cluster_features", (4,)), ("cluster_both_fit", "cluster_both", (3, 4)), ("ambient_fit", "remove_ambient", ()), ("components", "components", (2,)), ("initial_clusters", "initial_clusters", ())):
+        monkeypatch.setattr(fits, function, seen)
+        with pytest.raises(Stop) as stop:
+            q.queries()[name](None, "")
+        assert stop.value.args == (own, {})
