@@ -45,6 +45,14 @@ def test_embedding_of_an_experiment(x):
         embed.embedding(x, "map", min_size=1)
 
 
+def test_every_cell_gets_a_place(x):
+    plain = matrix.Experiment(x.counts, x.cells.drop("z"), x.features, x.params)
+    for e in (x, plain):
+        got = embed.embedding(e, "graph", 5, min_size=1, layout=12, rounds=20).toPandas()
+        assert sorted(got.cell_id) == sorted(r.cell_id for r in e.cells.collect()) and np.isfinite(got[["dim1", "dim2"]].to_numpy()).all()
+    assert embed.embedding(plain, "pca", max_cells=7).count() == 7
+
+
 def test_report(spark, x, tmp_path):
     done = report.run(x, 3, 4, f"file://{tmp_path}/r", min_count=1, min_cell=1)
     tables = report.read(spark, f"file://{tmp_path}/r")
