@@ -1,8 +1,8 @@
 """Model fits: drivers over Spark aggregations, and one-task kernels for matrices that fit.
 
 A matrix of at most LIMIT entries is taken to the executors whole and each run (chain, K, L) is one row of a distributed
-table of runs. Beyond that, cells are assigned by EM on DataFrames, and features on cells collapsed to few groups, which
-is what bounds the kernel's matrix: features x groups.
+table of runs. Beyond that, each chain is a fit on DataFrames over the whole matrix, from random labels and without split
+steps: cells by EM or Gibbs sampling, features by Gibbs sampling, all at once from the labels of the step before.
 """
 
 from __future__ import annotations
@@ -127,7 +127,8 @@ def cluster_cells(x: Experiment, k: int, priors: Priors = Priors(), algorithm: s
     try:
         return _best(spark, x, "c", grid({"K": [k]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
     except TooLarge:
-        return cluster_cells_distributed(x, k, priors, seed, max_iter, algorithm)
+        own = {"stop_iter": how["stop_iter"]} if "stop_iter" in how else {}
+        return max((cluster_cells_distributed(x, k, priors, seed + i, max_iter, algorithm, **own) for i in range(chains)), key=lambda m: m.log_lik)
 
 
 def cluster_cells_distributed(x: Experiment, k: int, priors: Priors = Priors(), seed: int = 12345, max_iter: int = 200, algorithm: str = "EM", stop_iter: int = 10) -> Model:
@@ -158,31 +159,48 @@ def cluster_cells_distributed(x: Experiment, k: int, priors: Priors = Priors(),
 
 
 def cluster_features(x: Experiment, modules: int, priors: Priors = Priors(), chains: int = 3, seed: int = 12345, init: str = "split", **how) -> Model:
-    """Features into modules by Gibbs sampling; a matrix too large is collapsed to 1000 groups of cells first."""
-    spark = x.counts.sparkSession
+    """Features into modules by Gibbs sampling: the best of some chains; on DataFrames if the matrix is too large."""
     try:
-        return _best(spark, x, "g", grid({"L": [modules]}, chains, seed), priors, init=init, **how)
+        return _best(x.counts.sparkSession, x, "g", grid({"L": [modules]}, chains, seed), priors, init=init, **how)
     except TooLarge:
-        group = F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(1000))
-        counts = x.counts.groupBy("feature_id", group.alias("cell_id")).agg(F.sum("n").alias("n"))
-        cells = counts.select("cell_id").distinct().withColumn("sample", F.lit("all"))
-        return _best(spark, replace(x, counts=counts, cells=cells), "g", grid({"L": [modules]}, chains, seed), priors, init=init, **how)
+        own = {a: b for a, b in how.items() if a in ("max_iter", "stop_iter")}
+        return max((modules_distributed(x, 0, modules, priors, seed + i, **own) for i in range(chains)), key=lambda m: m.log_lik)
+
+
+def modules_distributed(x: Experiment, k: int, modules: int, priors: Priors = Priors(), seed: int = 12345, max_iter: int = 200, algorithm: str = "EM", stop_iter: int = 10) -> Model:
+    """Features into modules on DataFrames, and cells into k populations with them unless k is 0. In each step all features
+    draw at once from their conditionals given the labels of the step before, which approximates a sequential sweep; then
+    cells are assigned on the module sums. It ends after stop_iter steps without a better likelihood."""
+    kind = "cg" if k else "g"
+    tables, params = Tables(x.counts.sparkSession), {**x.params, **priors.__dict__, "L": modules, **({"K": k} if k else {})}
+
+    def start(items: DataFrame, item: str, label: str, levels: int) -> DataFrame:
+        return tables.save(items.drop(label).withColumn(label, (F.pmod(F.xxhash64(item, F.lit(seed)), F.lit(levels)) + 1).cast("int")), f"{label}0")
+
+    now = replace(x, features=start(x.features, "feature_id", "y", modules), cells=start(x.cells, "cell_id", "z", k) if k else x.cells, params=params)
+    history, best, idle = [likelihood.log_likelihood(now, kind)], now, 0
+    for i in range(1, max_iter + 1):
+        y = rank.drawn_label(likelihood.feature_conditional_of_clusters(now) if k else likelihood.feature_conditional(now), "feature_id", "y", seed=seed + i)
+        now = replace(now, features=tables.save(now.features.drop("y").join(y, "feature_id"), f"y{i}"))
+        if k:
+            z = rank.best_label(likelihood.cell_scores(now, "cg"), "cell_id") if algorithm == "EM" else rank.drawn_label(likelihood.cell_conditional_of_modules(now), "cell_id", seed=seed + i)
+            now = replace(now, cells=tables.save(now.cells.drop("z").join(z, "cell_id"), f"z{i}"))
+        value = likelihood.log_likelihood(now, kind)
+        idle = 0 if value > max(history) else idle + 1
+        best = now if idle == 0 else best
+        history.append(value)
+        if idle >= stop_iter:
+            break
+    return Model(kind, params, max(history), history, best.cells.select("cell_id", "z") if k else None, best.features.select("feature_id", "y"))
 
 
 def cluster_both(x: Experiment, k: int, modules: int, priors: Priors = Priors(), algorithm: str = "EM", chains: int = 3, seed: int = 12345, init: str = "split", max_iter: int = 200, **how) -> Model:
-    """Both at once. Too large a matrix: features on collapsed cells, then cells by EM on the module sums."""
-    spark = x.counts.sparkSession
+    """Both at once: the best of some chains; on DataFrames if the matrix is too large for a task."""
     try:
-        return _best(spark, x, "cg", grid({"K": [k], "L": [modules]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
+        return _best(x.counts.sparkSession, x, "cg", grid({"K": [k], "L": [modules]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
     except TooLarge:
-        g = cluster_features(x, modules, priors, chains, seed, init)
-        features = x.features.drop("y").join(g.y, "feature_id")
-        sums = x.counts.join(features.select("feature_id", "y"), "feature_id").groupBy(F.col("y").cast("long").alias("feature_id"), "cell_id").agg(F.sum("n").alias("n"))
-        narrow = replace(x, counts=sums, features=sums.select("feature_id").distinct())
-        c = cluster_cells_distributed(narrow, k, priors, seed, max_iter)
-        params = {**x.params, **priors.__dict__, "K": k, "L": modules}
-        whole = replace(x, features=features, cells=x.cells.drop("z").join(c.z, "cell_id"), params=params)
-        return Model("cg", params, likelihood.log_likelihood(whole, "cg"), c.history, c.z, g.y)
+        own = {"stop_iter": how["stop_iter"]} if "stop_iter" in how else {}
+        return max((modules_distributed(x, k, modules, priors, seed + i, max_iter, algorithm, **own) for i in range(chains)), key=lambda m: m.log_lik)
 
 
 def labelled(x: Experiment, model: Model) -> Experiment:

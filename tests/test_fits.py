@@ -176,3 +176,17 @@ def test_registered_fits_are_not_cut_short(monkeypatch):
         with pytest.raises(Stop) as stop:
             q.queries()[name](None, "")
         assert stop.value.args == (own, {})
+
+
+def test_large_fits_keep_chains_and_algorithm(planted, monkeypatch):
+    e, cells, both = planted[0], [], []
+    monkeypatch.setattr(fits, "LIMIT", 10)
+    real = fits.modules_distributed
+    monkeypatch.setattr(fits, "cluster_cells_distributed", lambda x, k, p, seed, n, algorithm: cells.append((seed, algorithm)) or fits.Model("c", {}, -seed, []))
+    monkeypatch.setattr(fits, "modules_distributed", lambda x, k, l, p, seed, n=200, algorithm="EM": both.append((seed, algorithm)) or fits.Model("cg", {}, -seed, []))
+    assert fits.cluster_cells(e, 3, algorithm="Gibbs", seed=5).log_lik == -5 and cells == [(5, "Gibbs"), (6, "Gibbs"), (7, "Gibbs")]
+    assert fits.cluster_both(e, 3, 4, algorithm="Gibbs", seed=5, chains=2).log_lik == -5 and both == [(5, "Gibbs"), (6, "Gibbs")]
+    m = real(e, 3, 4, max_iter=2, algorithm="Gibbs")
+    assert m.log_lik == max(m.history) > m.history[0] and m.z.count() == 60 and m.y.count() == 40
+    m = real(e, 0, 4, max_iter=2)
+    assert m.log_lik == max(m.history) > m.history[0] and m.z is None and m.y.count() == 40
