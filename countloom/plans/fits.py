@@ -1,8 +1,9 @@
-"""Model fits: drivers over Spark aggregations, and one-task kernels for matrices that fit.
+"""Model fits: chains, searches and splits of the kernels over a matrix, and DataFrame fits beyond what these hold.
 
-A matrix of at most LIMIT entries is taken to the executors whole and each run (chain, K, L) is one row of a distributed
-table of runs. Beyond that, each chain is a fit on DataFrames over the whole matrix, from random labels and without split
-steps: cells by EM or Gibbs sampling, features by Gibbs sampling, all at once from the labels of the step before.
+A matrix of at most LIMIT entries is sent to the executors whole, and each run (chain, K, L) is one row of a distributed
+table of runs. A larger one stays on the cluster in blocks (blocks.py) with the same starts, splits and stopping rules, run
+after run; its items are updated all at once. Where items x labels are more than blocks.STATE, cells and features are fitted
+by joins alone, from random labels and without split steps; searches and recursive splits raise TooLarge there.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countloom.operators import contamination, filters, likelihood, rank
 from countloom.plans import kernels
-from countloom.plans.kernels import Priors
+from countloom.plans.blocks import STATE, Blocks
+from countloom.plans.kernels import Priors, TooLarge
 from countloom.plans.tables import Tables
 from countloom.sources.matrix import Experiment
 
-LIMIT = 5_000_000
+LIMIT = 1_000_000
 RUN = "index int, chain int, K int, L int, seed int, log_lik double, z array<int>, y array<int>, history array<double>"
+RUN_ARROW = pa.schema([("index", pa.int32()), ("chain", pa.int32()), ("K", pa.int32()), ("L", pa.int32()), ("seed", pa.int32()), ("log_lik", pa.float64()), ("z", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("history", pa.list_(pa.float64()))])
 
 
 @dataclass
@@ -38,37 +42,54 @@ class Model:
     names: dict = field(default_factory=dict)
 
 
-class TooLarge(ValueError):
-    pass
-
-
 @dataclass
-class Small:
-    """A matrix on the driver, of checked size, with the ids of its rows and columns."""
+class Matrix:
+    """A matrix for the kernels, with the ids of its rows and columns and the numbers of the columns' samples."""
 
-    x: kernels.Sparse
+    x: kernels.Sparse | Blocks
     features: np.ndarray
     cells: np.ndarray
     samples: np.ndarray
 
-    def labels(self, spark: SparkSession, axis: str, values: list[int]) -> DataFrame:
+    @property
+    def in_blocks(self) -> bool:
+        return kernels.at_once(self.x)
+
+    def labels(self, spark: SparkSession, axis: str, values: np.ndarray) -> DataFrame:
         ids, column, label = (self.cells, "cell_id", "z") if axis == "z" else (self.features, "feature_id", "y")
-        return spark.createDataFrame(pd.DataFrame({column: ids, label: np.asarray(values, np.int32)}))
+        return spark.createDataFrame(pa.table({column: pa.array(ids), label: pa.array(np.asarray(values, np.int32))}))
 
 
-def small(x: Experiment, limit: int | None = None) -> Small:
-    """The matrix by its entries, if these are at most `limit` (LIMIT), and its cells and features too."""
+def _ids(df: DataFrame, *columns: str) -> pa.Table:
+    return df.select(*columns).toArrow().sort_by(columns[0])
+
+
+def matrix_of(x: Experiment, limit: int | None = None) -> Matrix:
+    """The matrix by its entries if these are at most `limit` (LIMIT), in blocks beyond. The counts are computed once."""
     limit = LIMIT if limit is None else limit
+    spark = x.counts.sparkSession
+    tables = Tables(spark)
+    x = replace(x, counts=tables.save(x.counts.select("feature_id", "cell_id", F.col("n").cast("long").alias("n")), "counts"))
     filters.validate(x.counts, x.features, x.cells)
-    size = x.counts.count()
-    cells = x.cells.select("cell_id", "sample").orderBy("cell_id")
-    if max(size, cells.count()) > limit:
-        raise TooLarge(f"{size} entries are too many for one task")
-    rows, c = x.counts.toPandas(), cells.toPandas()
-    features, i = np.unique(rows.feature_id.to_numpy(), return_inverse=True)
-    ids = c.cell_id.to_numpy()
-    out = kernels.Sparse(i, np.searchsorted(ids, rows.cell_id.to_numpy()), rows.n.to_numpy().astype(np.int64), (len(features), len(ids)))
-    return Small(out, features, ids, np.unique(c["sample"].to_numpy(), return_inverse=True)[1])
+    size, n_cells = x.counts.count(), x.cells.count()
+    n_features = x.counts.select("feature_id").distinct().count()
+    if max(n_cells, n_features) > STATE:
+        raise TooLarge(f"{max(n_cells, n_features)} items are too many for the driver")
+    cells, features = _ids(x.cells, "cell_id", "sample"), _ids(x.counts.select("feature_id").distinct(), "feature_id")
+    ids, names = (t.column(0).to_numpy(zero_copy_only=False) for t in (cells, features))
+    samples = np.unique(cells.column(1).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+    if max(size, n_cells, n_features) <= limit:
+        t = x.counts.toArrow()
+        f, c, n = (t.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        tables.drop("counts")
+        return Matrix(kernels.Sparse(np.searchsorted(names, f), np.searchsorted(ids, c), n, (len(names), len(ids))), names, ids, samples)
+    number = lambda column, own, name: spark.createDataFrame(pa.table({column: pa.array(own), name: pa.array(np.arange(len(own), dtype=np.int32))}))
+    entries = x.counts.join(number("feature_id", names, "f"), "feature_id").join(number("cell_id", ids, "c"), "cell_id").select("f", "c", "n")
+    entries = tables.save(entries, "entries")
+    tables.drop("counts")
+    blocks = Blocks.of(entries, size, (len(names), len(ids)), tables)
+    tables.drop("entries")
+    return Matrix(blocks, names, ids, samples)
 
 
 def grid(params: dict[str, list[int]], chains: int, seed: int) -> list[dict]:
@@ -80,52 +101,57 @@ def grid(params: dict[str, list[int]], chains: int, seed: int) -> list[dict]:
     return [{"index": i, **o} for i, o in enumerate(out, 1)]
 
 
-def run_all(spark: SparkSession, matrix: Small, kind: str, runs: list[dict], priors: Priors, init: str = "random", **how) -> DataFrame:
-    """One row a run, fitted in parallel; the matrix is broadcast, its size having been checked."""
+def fitted(m: Matrix, kind: str, run: dict, priors: Priors, init: str = "random", **how) -> dict:
+    """One run by the kernels, as a row of RUN with arrays for lists."""
+    rng, k, modules = np.random.default_rng(run["seed"]), run.get("K") or 0, run.get("L") or 0
+    z0 = kernels.split_cells(m.x, m.samples, k, priors, rng) if init == "split" and kind in ("c", "cg") else None
+    y0 = kernels.split_features(m.x, modules, priors, rng) if init == "split" and kind in ("g", "cg") else None
+    if kind == "c":
+        f = kernels.fit_cells(m.x, m.samples, k, priors, rng, init=z0, **how)
+    elif kind == "g":
+        f = kernels.fit_features(m.x, modules, priors, rng, init=y0, **how)
+    else:
+        f = kernels.fit_both(m.x, m.samples, k, modules, priors, rng, z_init=z0, y_init=y0, **how)
+    one = lambda a: None if a is None else (a + 1).astype(np.int32)
+    return {"index": run["index"], "chain": run["chain"], "K": k, "L": modules, "seed": run["seed"], "log_lik": float(f.log_lik), "z": one(f.z), "y": one(f.y), "history": [float(v) for v in f.history]}
+
+
+def run_all(spark: SparkSession, matrix: Matrix, kind: str, runs: list[dict], priors: Priors, init: str = "random", **how) -> DataFrame:
+    """One row a run: in parallel over a matrix that is broadcast, its size having been checked, or one after the other
+    over one in blocks."""
+    if matrix.in_blocks:
+        return spark.createDataFrame(pa.Table.from_pylist([fitted(matrix, kind, r, priors, init, **how) for r in runs], RUN_ARROW))
     sent = spark.sparkContext.broadcast(matrix)
 
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                rng = np.random.default_rng(int(r.seed))
-                k, modules = int(r.K or 0), int(r.L or 0)
-                z0 = kernels.split_cells(m.x, m.samples, k, priors, rng) if init == "split" and kind in ("c", "cg") else None
-                y0 = kernels.split_features(m.x, modules, priors, rng) if init == "split" and kind in ("g", "cg") else None
-                if kind == "c":
-                    f = kernels.fit_cells(m.x, m.samples, k, priors, rng, init=z0, **how)
-                elif kind == "g":
-                    f = kernels.fit_features(m.x, modules, priors, rng, init=y0, **how)
-                else:
-                    f = kernels.fit_both(m.x, m.samples, k, modules, priors, rng, z_init=z0, y_init=y0, **how)
-                one = lambda a: None if a is None else (a + 1).astype(np.int32).tolist()
-                out.append((int(r.index_), int(r.chain), k, modules, int(r.seed), float(f.log_lik), one(f.z), one(f.y), [float(v) for v in f.history]))
-            yield pd.DataFrame(out, columns=["index", "chain", "K", "L", "seed", "log_lik", "z", "y", "history"])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([fitted(sent.value, kind, run, priors, init, **how)], RUN_ARROW)
 
     rows = [(r["index"], r["chain"], r.get("K", 0), r.get("L", 0), r["seed"]) for r in runs]
-    table = spark.createDataFrame(rows, "index_ int, chain int, K int, L int, seed int").repartition(len(rows), "index_")
-    return table.mapInPandas(fit, RUN)
+    table = spark.createDataFrame(rows, "index int, chain int, K int, L int, seed int").repartition(len(rows), "index")
+    return table.mapInArrow(fit, RUN)
 
 
-def _model(spark: SparkSession, matrix: Small, kind: str, row, params: dict) -> Model:
-    z = matrix.labels(spark, "z", row.z) if row.z is not None else None
-    y = matrix.labels(spark, "y", row.y) if row.y is not None else None
-    return Model(kind, {**params, "K": row.K, "L": row.L, "seed": row.seed}, row.log_lik, list(row.history), z, y)
+def _rows(runs: DataFrame) -> list[dict]:
+    """Rows of runs with their labels as arrays: as many as there are runs, each with a label for each item."""
+    table = runs.toArrow()
+    own = lambda c, i: None if not c[i].is_valid else c[i].values.to_numpy()
+    plain = table.drop_columns(["z", "y"]).to_pylist()
+    return [{**r, "z": own(table["z"], i), "y": own(table["y"], i)} for i, r in enumerate(plain)]
 
 
-def _best(spark: SparkSession, x: Experiment, kind: str, runs: list[dict], priors: Priors, **how) -> Model:
-    matrix = small(x)
-    rows = run_all(spark, matrix, kind, runs, priors, **how).collect()  # a row a chain
-    best = max(rows, key=lambda r: (r["log_lik"], -r["index"]))
-    return _model(spark, matrix, kind, best, priors.__dict__)
+def _best(x: Experiment, kind: str, runs: list[dict], priors: Priors, **how) -> Model:
+    spark, m = x.counts.sparkSession, matrix_of(x)
+    best = max(_rows(run_all(spark, m, kind, runs, priors, **how)), key=lambda r: (r["log_lik"], -r["index"]))
+    z, y = (None if best[a] is None else m.labels(spark, a, best[a]) for a in ("z", "y"))
+    return Model(kind, {**priors.__dict__, **{n: best[n] for n in ("K", "L", "seed")}}, best["log_lik"], list(best["history"]), z, y)
 
 
 def cluster_cells(x: Experiment, k: int, priors: Priors = Priors(), algorithm: str = "EM", chains: int = 3, seed: int = 12345, init: str = "split", max_iter: int = 200, **how) -> Model:
-    """Cells into k populations: the best of some chains; EM on DataFrames if the matrix is too large for a task."""
-    spark = x.counts.sparkSession
+    """Cells into k populations: the best of some chains."""
     try:
-        return _best(spark, x, "c", grid({"K": [k]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
+        return _best(x, "c", grid({"K": [k]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
     except TooLarge:
         own = {"stop_iter": how["stop_iter"]} if "stop_iter" in how else {}
         return max((cluster_cells_distributed(x, k, priors, seed + i, max_iter, algorithm, **own) for i in range(chains)), key=lambda m: m.log_lik)
@@ -159,9 +185,9 @@ def cluster_cells_distributed(x: Experiment, k: int, priors: Priors = Priors(),
 
 
 def cluster_features(x: Experiment, modules: int, priors: Priors = Priors(), chains: int = 3, seed: int = 12345, init: str = "split", **how) -> Model:
-    """Features into modules by Gibbs sampling: the best of some chains; on DataFrames if the matrix is too large."""
+    """Features into modules by Gibbs sampling: the best of some chains."""
     try:
-        return _best(x.counts.sparkSession, x, "g", grid({"L": [modules]}, chains, seed), priors, init=init, **how)
+        return _best(x, "g", grid({"L": [modules]}, chains, seed), priors, init=init, **how)
     except TooLarge:
         own = {a: b for a, b in how.items() if a in ("max_iter", "stop_iter")}
         return max((modules_distributed(x, 0, modules, priors, seed + i, **own) for i in range(chains)), key=lambda m: m.log_lik)
@@ -195,9 +221,9 @@ def modules_distributed(x: Experiment, k: int, modules: int, priors: Priors = Pr
 
 
 def cluster_both(x: Experiment, k: int, modules: int, priors: Priors = Priors(), algorithm: str = "EM", chains: int = 3, seed: int = 12345, init: str = "split", max_iter: int = 200, **how) -> Model:
-    """Both at once: the best of some chains; on DataFrames if the matrix is too large for a task."""
+    """Both at once: the best of some chains."""
     try:
-        return _best(x.counts.sparkSession, x, "cg", grid({"K": [k], "L": [modules]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
+        return _best(x, "cg", grid({"K": [k], "L": [modules]}, chains, seed), priors, init=init, algorithm=algorithm, max_iter=max_iter, **how)
     except TooLarge:
         own = {"stop_iter": how["stop_iter"]} if "stop_iter" in how else {}
         return max((modules_distributed(x, k, modules, priors, seed + i, max_iter, algorithm, **own) for i in range(chains)), key=lambda m: m.log_lik)
@@ -219,60 +245,55 @@ def grid_search(x: Experiment, kind: str, params: dict[str, list[int]], chains:
     missing = allowed - set(params) - set(fixed or {})
     if missing:
         raise ValueError(f"no value for {sorted(missing)}")
-    spark = x.counts.sparkSession
-    matrix = small(x)
+    spark, m = x.counts.sparkSession, matrix_of(x)
     runs = grid({**{k: [v] for k, v in (fixed or {}).items()}, **params}, chains, seed)
-    rows = run_all(spark, matrix, kind, runs, priors, init, **how)
-    rows = Tables(spark).save(rows, "runs")
+    rows = Tables(spark).save(run_all(spark, m, kind, runs, priors, init, **how), "runs")
     if best_only:
         rows = rank.best_runs(rows, ["K", "L"])
     if not perplexity:
         return rows
-    points = resampled_perplexity(spark, matrix, kind, rows, priors)
+    points = resampled_perplexity(spark, m, kind, rows, priors)
     return rows.join(rank.mean_by(points, "perplexity", "index").withColumnRenamed("perplexity", "mean_perplexity"), "index")
 
 
-def resampled_perplexity(spark: SparkSession, matrix: Small, kind: str, runs: DataFrame, priors: Priors = Priors(), resamples: int = 0, seed: int = 12345) -> DataFrame:
+POINT_ARROW = pa.schema([("index", pa.int32()), ("K", pa.int32()), ("L", pa.int32()), ("resample", pa.int32()), ("perplexity", pa.float64())])
+
+
+def resampled_perplexity(spark: SparkSession, matrix: Matrix, kind: str, runs: DataFrame, priors: Priors = Priors(), resamples: int = 0, seed: int = 12345) -> DataFrame:
     """(index, K, L, resample, perplexity): on the matrix itself (resamples = 0) or on redrawn ones, where each cell's
     counts are a multinomial draw with its own total and proportions."""
     if resamples < 0:
         raise ValueError("the number of resamples must not be negative")
-    sent = spark.sparkContext.broadcast(matrix)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                z = None if r.z is None else np.asarray(r.z) - 1
-                y = None if r.y is None else np.asarray(r.y) - 1
-                for i in range(max(resamples, 1)):
-                    rng = np.random.default_rng([seed, i])
-                    x = redrawn(m.x, rng) if resamples else m.x
-                    out.append((r.index_, r.K, r.L, i + 1, perplexity_of(m, kind, z, y, int(r.K), int(r.L), priors, x)))
-            yield pd.DataFrame(out, columns=["index", "K", "L", "resample", "perplexity"])
+    def points(m: Matrix, r: dict) -> list[dict]:
+        z, y = (None if r[a] is None else np.asarray(r[a]) - 1 for a in ("z", "y"))
+        drawn = [m.x.redrawn([seed, i]) for i in range(resamples)] or [m.x]
+        return [{"index": r["index"], "K": r["K"], "L": r["L"], "resample": i, "perplexity": perplexity_of(m, kind, z, y, r["K"], r["L"], priors, x)} for i, x in enumerate(drawn, 1)]
 
-    table = runs.select(F.col("index").alias("index_"), "K", "L", "z", "y")
-    return table.mapInPandas(score, "index int, K int, L int, resample int, perplexity double")
+    runs = runs.select("index", "K", "L", "z", "y")
+    if matrix.in_blocks:
+        return spark.createDataFrame(pa.Table.from_pylist([p for r in _rows(runs) for p in points(matrix, r)], POINT_ARROW))
+    sent = spark.sparkContext.broadcast(matrix)
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(points(sent.value, r), POINT_ARROW)
 
-def redrawn(x: kernels.Sparse, rng: np.random.Generator) -> kernels.Sparse:
-    """Each cell drawn again with its own total and proportions; what it has none of is never drawn."""
-    own = [x.column(c)[1] for c in range(x.shape[1])]
-    values = np.concatenate([rng.multinomial(v.sum(), v / v.sum()) for v in own])
-    return kernels.Sparse(x.rows, x.columns, values, x.shape)
+    return runs.mapInArrow(score, "index int, K int, L int, resample int, perplexity double")
 
 
-def perplexity_of(m: Small, kind: str, z, y, k: int, modules: int, p: Priors, x: kernels.Sparse) -> float:
+def perplexity_of(m: Matrix, kind: str, z, y, k: int, modules: int, p: Priors, x) -> float:
+    """Of the counts x under what the labels make of m."""
     share = lambda a: a / a.sum(axis=0)
-    total = x.values.sum()
+    total = int(m.x.sum(axis=0).sum())
     if y is not None:
         n_g = m.x.sum(axis=1)
-        n_l = np.bincount(y, n_g + p.delta, modules)
-        psi = (n_g + p.delta) / n_l[y]
+        psi = (n_g + p.delta) / np.bincount(y, n_g + p.delta, modules)[y]
     if kind == "g":
-        phi = share(kernels.group_sums(m.x.T, y, modules).T + p.beta)
-        return float(np.exp(-(x.values * np.log(psi[x.rows] * phi[y[x.rows], x.columns])).sum() / total))
+        phi = np.log(share(kernels.group_sums(m.x.T, y, modules).T + p.beta)).T
+        s = x.T @ np.column_stack([np.log(psi), np.eye(modules)[y]])
+        return float(np.exp(-(s[:, 0].sum() + (s[:, 1:] * phi).sum()) / total))
     theta = np.log(share(kernels.cross(z, m.samples, k, int(m.samples.max()) + 1) + p.alpha))
     if kind == "c":
         logs = np.log(share(kernels.group_sums(m.x, z, k) + p.beta))
@@ -283,44 +304,65 @@ def perplexity_of(m: Small, kind: str, z, y, k: int, modules: int, p: Priors, x:
     return float(np.exp(-(top + np.log(np.exp(s - top[:, None]).sum(axis=1))).sum() / total))
 
 
+SPLIT = "index int, K int, L int, log_lik double, perplexity double, z array<int>, y array<int>"
+SPLIT_ARROW = pa.schema([("index", pa.int32()), ("K", pa.int32()), ("L", pa.int32()), ("log_lik", pa.float64()), ("perplexity", pa.float64()), ("z", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))])
+
+
 def recursive_split(x: Experiment, axis: str, first: int, last: int, priors: Priors = Priors(), seed: int = 12345, least: int = 3, other: DataFrame | None = None, temp: int | None = None) -> DataFrame:
     """(index, K, L, log_lik, perplexity, z, y): models of `first` to `last` groups, each made from the one before by its
     best single split and a short fit from there. axis: z for cells, y for features. other: labels of the other axis, on
     whose sums the split is judged; temp: collapse the other axis to so many random groups first."""
     if last < first:
         raise ValueError("the last number of groups is below the first")
-    spark, m = x.counts.sparkSession, small(x)
-    rng = np.random.default_rng(seed)
-    work, fixed = m.x, None
+    spark, m = x.counts.sparkSession, matrix_of(x)
+    fixed = None
     if other is not None:
-        frame = other.toPandas().set_index(other.columns[0])  # labels of a matrix of checked size
-        fixed = frame.loc[m.features if axis == "z" else m.cells].iloc[:, 0].to_numpy() - 1
-        work = kernels.group_sums(m.x.T, fixed, int(fixed.max()) + 1).T if axis == "z" else kernels.group_sums(m.x, fixed, int(fixed.max()) + 1)
-    elif temp is not None:
-        n = m.x.shape[0 if axis == "z" else 1]
+        t = _ids(other, *other.columns[:2])
+        own = t.column(0).to_numpy(zero_copy_only=False)
+        fixed = t.column(1).to_numpy()[np.searchsorted(own, m.features if axis == "z" else m.cells)].astype(np.int64) - 1
+    if m.in_blocks:
+        return spark.createDataFrame(pa.Table.from_pylist(list(splits(m, axis, first, last, priors, seed, least, fixed, temp)), SPLIT_ARROW))
+    sent = spark.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for row in splits(sent.value, axis, first, last, priors, seed, least, fixed, temp):
+                    yield pa.RecordBatch.from_pylist([row], SPLIT_ARROW)
+
+    return spark.range(1).coalesce(1).mapInArrow(run, SPLIT)  # one model after the other, in one task
+
+
+def splits(m: Matrix, axis: str, first: int, last: int, priors: Priors, seed: int, least: int, fixed: np.ndarray | None, temp: int | None) -> Iterator[dict]:
+    """The models of recursive_split() as rows."""
+    from countloom.plans.blocks import Local
+
+    rng, work = np.random.default_rng(seed), m.x
+    groups, n = fixed, m.x.shape[0 if axis == "z" else 1]
+    if groups is None and temp is not None:
         groups = kernels.random_labels(n, min(temp, n), rng)
-        work = kernels.group_sums(m.x.T, groups, min(temp, n)).T if axis == "z" else kernels.group_sums(m.x, groups, min(temp, n))
+    if groups is not None:
+        work = kernels.group_sums(m.x.T, groups, int(groups.max()) + 1).T if axis == "z" else kernels.group_sums(m.x, groups, int(groups.max()) + 1)
+        work = Local(work) if m.in_blocks else work
     if axis == "z":
         fit = lambda k, init: kernels.fit_cells(work, m.samples, k, priors, rng, init=init, split=False, max_iter=20).z
-        value = lambda a: kernels.ll_cells(work, m.samples, a, int(a.max()) + 1, priors)
-        divide = lambda members: kernels.two_way(work, m.samples, members, priors, rng, "z")
+        judge = lambda trials, k: kernels.lls_cells(work, m.samples, trials, k, priors)
     else:
         fit = lambda k, init: kernels.fit_features(work, k, priors, rng, init=init, split=False, max_iter=5, stop_iter=3).y
-        value = lambda a: kernels.ll_features(work, a, int(a.max()) + 1, priors)
-        divide = lambda members: kernels.two_way(work, None, members, priors, rng, "y")
-    labels, out = fit(first, None), []
+        judge = lambda trials, k: kernels.lls_features(work, trials, k, priors)
+    halve = lambda labels, groups: kernels.halves(work, m.samples if axis == "z" else None, labels, groups, priors, rng, axis)
+    labels = fit(first, None)
     for k in range(first, last + 1):
         if k > first:
-            labels, _ = kernels.best_single_split(labels, divide, value, least)
+            labels, value = kernels.best_single_split(labels, halve, judge, least)
             again = fit(k, labels) if len(np.unique(labels)) == k else labels
-            labels = again if len(np.unique(again)) == k and value(again) >= value(labels) else labels
+            labels = again if len(np.unique(again)) == k and judge([again], k)[0] >= value else labels
         z, y = (labels, fixed) if axis == "z" else (fixed, labels)
         kind = "cg" if fixed is not None else ("c" if axis == "z" else "g")
         big_k, modules = (0 if z is None else int(z.max()) + 1), (0 if y is None else int(y.max()) + 1)
         log_lik = {"c": lambda: kernels.ll_cells(m.x, m.samples, z, big_k, priors), "g": lambda: kernels.ll_features(m.x, y, modules, priors), "cg": lambda: kernels.ll_both(m.x, m.samples, z, y, big_k, modules, priors)}[kind]()
-        one = lambda a: None if a is None else (a + 1).astype(int).tolist()
-        out.append((k - first + 1, big_k, modules, float(log_lik), perplexity_of(m, kind, z, y, big_k, modules, priors, m.x), one(z), one(y)))
-    return spark.createDataFrame(out, "index int, K int, L int, log_lik double, perplexity double, z array<int>, y array<int>")
+        one = lambda a: None if a is None else (a + 1).astype(np.int32)
+        yield {"index": k - first + 1, "K": big_k, "L": modules, "log_lik": float(log_lik), "perplexity": perplexity_of(m, kind, z, y, big_k, modules, priors, m.x), "z": one(z), "y": one(y)}
 
 
 def split_module(x: Experiment, module: int, n: int = 2, priors: Priors = Priors(), seed: int = 12345) -> Experiment:

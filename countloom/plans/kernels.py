@@ -1,7 +1,9 @@
-"""Fits on matrices that one task can hold, in numpy: sequential Gibbs sweeps, splits, chains.
+"""Fits in numpy: Gibbs sweeps, EM steps, splits.
 
-A matrix is features x cells of non-negative integers, dense or Sparse. Labels are 0-based here and 1-based outside. log-gamma of counts
-comes from tables, as counts are integers.
+A matrix is features x cells of non-negative integers: dense or Sparse, whose Gibbs sweeps go through the items one by one,
+or blocks.Blocks, which is marked `at_once`: all its items are drawn from the labels of the step before, groups are halved
+together and several vectors of labels are judged in one pass. Labels are 0-based here and 1-based outside. log-gamma of
+counts comes from tables, as counts are integers.
 """
 
 from __future__ import annotations
@@ -12,6 +14,24 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+class TooLarge(ValueError):
+    pass
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """lgamma of positive numbers: Stirling's series from 8 on, and the recurrence below."""
+    x, less = np.asarray(x, float), 0.0
+    if x.size and x.min() < 8:
+        less = np.ones_like(x)
+        for _ in range(8):
+            low = x < 8
+            less[low] *= x[low]
+            x = np.where(low, x + 1, x)
+        less = np.log(less)
+    v = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - v * (1 / 360 - v * (1 / 1260 - v / 1680))) / x - less
+
+
 class LogGamma:
     """lgamma(n + prior) for integers n >= 0, from a table that grows up to TOP, and by Stirling's series beyond."""
 
@@ -51,6 +71,12 @@ class Sparse:
             self._turned._turned = self
         return self._turned
 
+    def redrawn(self, seed: list[int]) -> Sparse:
+        """Each cell drawn again with its own total and proportions; what it has none of is never drawn."""
+        own = [self.column(c)[1] for c in range(self.shape[1])]
+        values = np.concatenate([np.random.default_rng([*seed, c]).multinomial(v.sum(), v / v.sum()) for c, v in enumerate(own)])
+        return Sparse(self.rows, self.columns, values, self.shape)
+
     def column(self, c: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(self.first[c], self.first[c + 1])
         return self.rows[own], self.values[own]
@@ -72,6 +98,10 @@ class Sparse:
         return np.stack([np.bincount(self.rows, self.values * dense[self.columns, j], self.shape[0]) for j in range(dense.shape[1])], axis=1)
 
 
+def at_once(x) -> bool:
+    return getattr(x, "axes", None) is not None
+
+
 def column(x: np.ndarray | Sparse, c: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and values of the entries of a column."""
     if isinstance(x, Sparse):
@@ -82,6 +112,10 @@ def column(x: np.ndarray | Sparse, c: int) -> tuple[np.ndarray, np.ndarray]:
 
 def group_sums(x: np.ndarray | Sparse, labels: np.ndarray, levels: int) -> np.ndarray:
     """Columns of x summed by label."""
+    if at_once(x):
+        return x.group_sums(labels, levels)
+    if isinstance(x, np.ndarray) and x.shape[0] <= 64:
+        return np.stack([np.bincount(labels, row, levels) for row in x]).astype(x.dtype) if len(x) else np.zeros((0, levels), x.dtype)
     if isinstance(x, Sparse):
         at = x.rows.astype(np.int64) * levels + labels[x.columns]
         return np.bincount(at, x.values, x.shape[0] * levels).astype(np.int64).reshape(x.shape[0], levels)
@@ -141,9 +175,33 @@ def ll_features(x: np.ndarray, y: np.ndarray, modules: int, p: Priors) -> float:
     return dirichlet_term(group_sums(x.T, y, modules).T, p.beta) + module_terms(x.sum(axis=1), y, modules, p)
 
 
+def lls_cells(x, s: np.ndarray, trials: list[np.ndarray], k: int, p: Priors) -> list[float]:
+    """ll_cells() of several vectors of labels."""
+    if not at_once(x):
+        return [ll_cells(x, s, z, k, p) for z in trials]
+    gains, totals = x.trials(trials, k, p.beta)
+    width = x.shape[0] * p.beta
+    ends = LogGamma(width)(totals.astype(np.int64)).sum(axis=1)
+    return [dirichlet_term(cross(z, s, k, int(s.max()) + 1), p.alpha) + g + k * math.lgamma(width) - e for z, g, e in zip(trials, gains.tolist(), ends.tolist(), strict=True)]
+
+
+def lls_features(x, trials: list[np.ndarray], modules: int, p: Priors) -> list[float]:
+    """ll_features() of several vectors of labels."""
+    if not at_once(x):
+        return [ll_features(x, y, modules, p) for y in trials]
+    gains, _ = x.T.trials(trials, modules, p.beta)
+    by_cell, by_feature = x.sum(axis=0), x.sum(axis=1)
+    rest = len(by_cell) * math.lgamma(modules * p.beta) - float(LogGamma(modules * p.beta)(by_cell).sum())
+    return [g + rest + module_terms(by_feature, y, modules, p) for y, g in zip(trials, gains.tolist(), strict=True)]
+
+
+def ll_joint(blocks: np.ndarray, by_feature: np.ndarray, s: np.ndarray, z: np.ndarray, y: np.ndarray, k: int, modules: int, p: Priors) -> float:
+    """blocks: counts by module and cluster."""
+    return dirichlet_term(cross(z, s, k, int(s.max()) + 1), p.alpha) + dirichlet_term(blocks, p.beta) + module_terms(by_feature, y, modules, p)
+
+
 def ll_both(x: np.ndarray, s: np.ndarray, z: np.ndarray, y: np.ndarray, k: int, modules: int, p: Priors) -> float:
-    blocks = group_sums(group_sums(x.T, y, modules).T, z, k)
-    return dirichlet_term(cross(z, s, k, int(s.max()) + 1), p.alpha) + dirichlet_term(blocks, p.beta) + module_terms(x.sum(axis=1), y, modules, p)
+    return ll_joint(group_sums(group_sums(x.T, y, modules).T, z, k), x.sum(axis=1), s, z, y, k, modules, p)
 
 
 def cell_scores(x: np.ndarray, s: np.ndarray, z: np.ndarray, k: int, p: Priors) -> np.ndarray:
@@ -155,6 +213,11 @@ def cell_scores(x: np.ndarray, s: np.ndarray, z: np.ndarray, k: int, p: Priors)
 
 def cell_conditionals(x: np.ndarray, s: np.ndarray, z: np.ndarray, k: int, p: Priors, rng: np.random.Generator | None = None) -> np.ndarray:
     """Scores of each cell given all others; with rng a Gibbs sweep in random order that changes z."""
+    if at_once(x):
+        out = cells_at_once(x, s, z, k, p)
+        if rng is not None:
+            z[:] = drawn(out, rng)
+        return out
     sums, table, total = group_sums(x, z, k), cross(z, s, k, int(s.max()) + 1), None
     total = sums.sum(axis=0)
     lg, lw = LogGamma(p.beta), LogGamma(p.beta * x.shape[0])
@@ -176,6 +239,11 @@ def cell_conditionals(x: np.ndarray, s: np.ndarray, z: np.ndarray, k: int, p: Pr
 
 def feature_conditionals(x: np.ndarray, y: np.ndarray, modules: int, p: Priors, rng: np.random.Generator | None = None) -> np.ndarray:
     """Scores of each feature given all others; with rng a Gibbs sweep in random order that changes y."""
+    if at_once(x):
+        out = features_at_once(x, y, modules, p)
+        if rng is not None:
+            y[:] = drawn(out, rng)
+        return out
     sums = group_sums(x.T, y, modules)  # columns x modules
     size, total = np.bincount(y, minlength=modules) + 1, sums.sum(axis=0)
     lg, lgam = LogGamma(p.beta), LogGamma(p.gamma)
@@ -199,6 +267,44 @@ def feature_conditionals(x: np.ndarray, y: np.ndarray, modules: int, p: Priors,
     return out
 
 
+def drawn(scores: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A draw from each row's log-probabilities, by Gumbel noise."""
+    return (scores + rng.gumbel(size=scores.shape)).argmax(axis=1)
+
+
+def _rows(n: int, size: int = 1 << 18) -> list[slice]:
+    return [slice(i, i + size) for i in range(0, n, size)]
+
+
+def _levels(groups: np.ndarray | None, rows: slice, levels: int) -> np.ndarray:
+    return np.arange(levels)[None] if groups is None else 2 * groups[rows, None] + np.arange(2)
+
+
+def cells_at_once(x, s: np.ndarray, z: np.ndarray, k: int, p: Priors) -> np.ndarray:
+    """Scores of each cell given the labels of all others."""
+    sums, table, n = group_sums(x, z, k), cross(z, s, k, int(s.max()) + 1), x.sum(axis=0)
+    out, total, width = x.T.gains(sums, z, p.beta), sums.sum(axis=0), p.beta * x.shape[0]
+    for r in _rows(len(z)):
+        mine = z[r, None] == np.arange(k)
+        rest, own = total - mine * n[r, None], n[r, None]
+        out[r] += np.log(table.T[s[r]] - mine + p.alpha) - log_gamma(rest + own + width) + log_gamma(rest + width)
+    return out
+
+
+def features_at_once(x, y: np.ndarray, modules: int, p: Priors, groups: np.ndarray | None = None) -> np.ndarray:
+    """Scores of each feature given the labels of all others. groups: label y is 2 * group + half, and a feature has
+    scores for the two halves of its group."""
+    sums, n = group_sums(x.T, y, modules), x.sum(axis=1)
+    out, all_sizes, total = x.gains(sums, y, p.beta, groups), np.bincount(y, minlength=modules) + 1, sums.sum(axis=0)
+    for r in _rows(len(y)):
+        levels = _levels(groups, r, modules)
+        mine, own = y[r, None] == levels, n[r, None]
+        size, rest = all_sizes[levels] - mine, total[levels] - mine * own
+        out[r] += np.log(size + p.gamma) + log_gamma((size + 1) * p.delta) - log_gamma(size * p.delta)
+        out[r] += log_gamma(rest + size * p.delta) - log_gamma(rest + own + (size + 1) * p.delta)
+    return out
+
+
 def random_labels(n: int, levels: int, rng: np.random.Generator) -> np.ndarray:
     """Uniform labels, each level used at least once if there are enough items."""
     out = rng.integers(0, levels, n)
@@ -225,34 +331,50 @@ def two_way(x: np.ndarray, s: np.ndarray | None, members: np.ndarray, p: Priors,
     return fit_features(x[members], 2, p, rng, max_iter=5, split=False).y
 
 
-def improve_by_split(labels: np.ndarray, levels: int, scores: np.ndarray, divide, likelihood, least: int, most: int = 10) -> tuple[np.ndarray, float]:
+def halves(x, s: np.ndarray | None, labels: np.ndarray, groups: list[int], p: Priors, rng: np.random.Generator, axis: str, rounds: int = 5) -> dict[int, np.ndarray]:
+    """two_way() of several groups; at once if x is so: then labels are 2 * group + half and only the half can change."""
+    if not at_once(x):
+        return {g: two_way(x, s, np.flatnonzero(labels == g), p, rng, axis) for g in groups}
+    labels = np.asarray(labels, np.int64)
+    levels, both = 2 * (int(labels.max()) + 1), 2 * labels + rng.integers(0, 2, len(labels))
+    for _ in range(rounds if groups else 0):
+        if axis == "z":
+            phi = group_sums(x, both, levels) + p.beta
+            scores = x.T.pair_weights(np.log(phi / phi.sum(axis=0)), labels)
+            scores += np.log(np.bincount(both, minlength=levels) + p.alpha).reshape(-1, 2)[labels]
+            both = 2 * labels + scores.argmax(axis=1)
+        else:
+            both = 2 * labels + drawn(features_at_once(x, both, levels, p, labels), rng)
+    return {g: both[labels == g] & 1 for g in groups}
+
+
+def improve_by_split(labels: np.ndarray, levels: int, scores: np.ndarray, halve, likelihoods, least: int, most: int = 10) -> tuple[np.ndarray, float]:
     """The best of: no change; or dissolve one group into its members' second choices and give its label to one half of
-    another group that is divided in two. Candidates are groups in order of what dissolving them costs."""
-    best, value = labels, likelihood(labels)
+    another group that is divided in two. Candidates are groups in order of what dissolving them costs. halve(labels,
+    groups) divides groups; likelihoods(list of labels) judges."""
     sizes = np.bincount(labels, minlength=levels)
     large = [g for g in range(levels) if sizes[g] > least]
     if not large or levels < 3:
-        return best, value
+        return labels, likelihoods([labels])[0]
     second = scores.copy()
     second[np.arange(len(labels)), labels] = -np.inf
     second = second.argmax(axis=1)
-    dissolved = {}
-    for g in range(levels):
-        trial = labels.copy()
-        trial[labels == g] = second[labels == g]
-        dissolved[g] = (likelihood(trial), trial)
-    order = sorted(dissolved, key=lambda g: -dissolved[g][0])[:most]
-    halves = {g: divide(np.flatnonzero(labels == g)) for g in large}
+    dissolved = [np.where(labels == g, second, labels) for g in range(levels)]
+    value, *costs = likelihoods([labels, *dissolved])
+    order = sorted(range(levels), key=lambda g: -costs[g])[:most]
+    half = halve(labels, large)
+    best, trials = labels, []
     for g in order:
         for j in large:
-            if j == g or len(np.unique(halves[j])) < 2:
+            if j == g or len(np.unique(half[j])) < 2:
                 continue
-            trial = dissolved[g][1].copy()
-            members = np.flatnonzero(labels == j)
-            trial[members[halves[j] == 1]] = g
-            if len(np.unique(trial)) < levels:
-                continue
-            now = likelihood(trial)
+            trial = dissolved[g].copy()
+            trial[np.flatnonzero(labels == j)[half[j] == 1]] = g
+            if len(np.unique(trial)) == levels:
+                trials.append(trial)
+    for i in range(0, len(trials), 64):
+        some = trials[i : i + 64]
+        for trial, now in zip(some, likelihoods(some), strict=True):
             if now > value:
                 best, value = trial, now
     return best, value
@@ -288,7 +410,7 @@ def fit_cells(x: np.ndarray, s: np.ndarray, k: int, p: Priors, rng: np.random.Ge
             cell_conditionals(x, s, labels[0], k, p, rng)
 
     def change(labels: list[np.ndarray]) -> bool:
-        new, _ = improve_by_split(labels[0], k, cell_scores(x, s, labels[0], k, p), lambda m: two_way(x, s, m, p, rng, "z"), lambda z_: ll_cells(x, s, z_, k, p), least)
+        new, _ = improve_by_split(labels[0], k, cell_scores(x, s, labels[0], k, p), lambda z_, groups: halves(x, s, z_, groups, p, rng, "z"), lambda trials: lls_cells(x, s, trials, k, p), least)
         moved = bool((new != labels[0]).any())
         labels[0][:] = new
         return moved
@@ -306,7 +428,7 @@ def fit_features(x: np.ndarray, modules: int, p: Priors, rng: np.random.Generato
 
     def change(labels: list[np.ndarray]) -> bool:
         scores = feature_conditionals(x, labels[0].copy(), modules, p)
-        new, _ = improve_by_split(labels[0], modules, scores, lambda m: two_way(x, None, m, p, rng, "y"), lambda y_: ll_features(x, y_, modules, p), least)
+        new, _ = improve_by_split(labels[0], modules, scores, lambda y_, groups: halves(x, None, y_, groups, p, rng, "y"), lambda trials: lls_features(x, trials, modules, p), least)
         moved = bool((new != labels[0]).any())
         labels[0][:] = new
         return moved
@@ -318,10 +440,18 @@ def fit_features(x: np.ndarray, modules: int, p: Priors, rng: np.random.Generato
 def fit_both(x: np.ndarray, s: np.ndarray, k: int, modules: int, p: Priors, rng: np.random.Generator, algorithm: str = "EM", stop_iter: int = 10, max_iter: int = 200, split_on: int = 10, split_last: bool = True, z_init: np.ndarray | None = None, y_init: np.ndarray | None = None) -> Fit:
     """Features move on the matrix collapsed to cell clusters, cells on the one collapsed to modules."""
     z, y = start_labels(x.shape[1], k, rng, z_init), start_labels(x.shape[0], modules, rng, y_init)
+    by_feature = x.sum(axis=1)
+
+    def collapsed(dense: np.ndarray):
+        if not at_once(x):
+            return dense
+        from countloom.plans.blocks import Local
+
+        return Local(dense)
 
     def step(labels: list[np.ndarray]) -> None:
-        feature_conditionals(group_sums(x, labels[0], k), labels[1], modules, p, rng)
-        small = group_sums(x.T, labels[1], modules).T
+        feature_conditionals(collapsed(group_sums(x, labels[0], k)), labels[1], modules, p, rng)
+        small = collapsed(group_sums(x.T, labels[1], modules).T)
         if algorithm == "EM":
             labels[0][:] = cell_scores(small, s, labels[0], k, p).argmax(axis=1)
         else:
@@ -329,10 +459,17 @@ def fit_both(x: np.ndarray, s: np.ndarray, k: int, modules: int, p: Priors, rng:
 
     def change(labels: list[np.ndarray]) -> bool:
         z_, y_ = labels
-        narrow = group_sums(x, z_, k)
-        new_y, _ = improve_by_split(y_, modules, feature_conditionals(narrow, y_.copy(), modules, p), lambda m: two_way(narrow, None, m, p, rng, "y"), lambda a: ll_both(x, s, z_, a, k, modules, p), 3) if modules > 2 else (y_, 0)
-        small = group_sums(x.T, new_y, modules).T
-        new_z, _ = improve_by_split(z_, k, cell_scores(small, s, z_, k, p), lambda m: two_way(small, s, m, p, rng, "z"), lambda a: ll_both(x, s, a, new_y, k, modules, p), 3) if k > 2 else (z_, 0)
+        new_y, new_z = y_, z_
+        if modules > 2:
+            dense = group_sums(x, z_, k)
+            narrow = collapsed(dense)
+            judge = lambda trials: [ll_joint(group_sums(dense.T, a, modules).T, by_feature, s, z_, a, k, modules, p) for a in trials]
+            new_y, _ = improve_by_split(y_, modules, feature_conditionals(narrow, y_.copy(), modules, p), lambda a, groups: halves(narrow, None, a, groups, p, rng, "y"), judge, 3)
+        if k > 2:
+            sums = group_sums(x.T, new_y, modules).T
+            small = collapsed(sums)
+            judge = lambda trials: [ll_joint(group_sums(sums, a, k), by_feature, s, a, new_y, k, modules, p) for a in trials]
+            new_z, _ = improve_by_split(z_, k, cell_scores(small, s, z_, k, p), lambda a, groups: halves(small, s, a, groups, p, rng, "z"), judge, 3)
         moved = bool((new_y != y_).any() or (new_z != z_).any())
         y_[:], z_[:] = new_y, new_z
         return moved
@@ -341,75 +478,68 @@ def fit_both(x: np.ndarray, s: np.ndarray, k: int, modules: int, p: Priors, rng:
     return Fit(value, z=z, y=y, history=history)
 
 
-def split_start(n: int, levels: int, rng: np.random.Generator, divide, likelihood) -> np.ndarray:
-    """Labels by splitting: about sqrt(levels) random groups, each divided until there are enough; then groups are
-    dissolved one by one, each time the one that leaves the best likelihood."""
-    first = max(2, math.isqrt(levels))
-    labels = divide(np.arange(n), min(first, n))
+def split_start(n: int, levels: int, rng: np.random.Generator, divide, halve, likelihoods) -> np.ndarray:
+    """Labels by splitting: about sqrt(levels) groups, each divided until there are enough; then groups are dissolved one
+    by one, each time the one that leaves the best likelihood."""
+    first = min(max(2, math.isqrt(levels)), n)
+    labels = np.unique(divide(first), return_inverse=True)[1]
     for _ in range(25):
-        groups = [g for g in np.unique(labels) if (labels == g).sum() > 3]
-        if len(np.unique(labels)) >= levels or not groups:
+        groups = [g for g in range(labels.max() + 1) if (labels == g).sum() > 3]
+        if labels.max() + 1 >= levels or not groups:
             break
+        half, new = halve(labels, groups), labels.copy()
         for g in groups:
-            members = np.flatnonzero(labels == g)
-            half = divide(members, 2)
-            labels[members[half == 1]] = labels.max() + 1
-            if len(np.unique(labels)) >= levels + 10:
+            new[np.flatnonzero(labels == g)[half[g] == 1]] = new.max() + 1
+            if len(np.unique(new)) >= levels + 10:
                 break
-    labels = np.unique(labels, return_inverse=True)[1]
+        labels = np.unique(new, return_inverse=True)[1]
     while labels.max() + 1 > levels:
-        options = []
+        trials = []
         for g in range(labels.max() + 1):
             trial = labels.copy()
             rest = [h for h in range(labels.max() + 1) if h != g]
             trial[labels == g] = rest[int(rng.integers(len(rest)))]
-            trial = np.unique(trial, return_inverse=True)[1]
-            options.append((likelihood(trial), -g, trial))
-        labels = max(options, key=lambda o: o[:2])[2]
+            trials.append(np.unique(trial, return_inverse=True)[1])
+        values = likelihoods(trials, int(labels.max()))
+        labels = trials[max(range(len(trials)), key=lambda g: (values[g], -g))]
     if labels.max() + 1 < levels:
         labels = random_labels(n, levels, rng)
     return labels
 
 
 def split_cells(x: np.ndarray, s: np.ndarray, k: int, p: Priors, rng: np.random.Generator) -> np.ndarray:
-    def divide(members: np.ndarray, parts: int) -> np.ndarray:
-        if len(members) < parts:
-            return np.zeros(len(members), np.int64)
-        return fit_cells(x[:, members], np.zeros(len(members), np.int64), parts, p, rng, max_iter=5, split=False).z
+    def divide(parts: int) -> np.ndarray:
+        return fit_cells(x, np.zeros(x.shape[1], np.int64), parts, p, rng, max_iter=5, split=False).z
 
-    return split_start(x.shape[1], k, rng, divide, lambda z: ll_cells(x, s, z, int(z.max()) + 1, p))
+    return split_start(x.shape[1], k, rng, divide, lambda z, groups: halves(x, s, z, groups, p, rng, "z"), lambda trials, levels: lls_cells(x, s, trials, levels, p))
 
 
 def split_features(x: np.ndarray, modules: int, p: Priors, rng: np.random.Generator, temp: int = 100) -> np.ndarray:
-    """On cells collapsed to at most `temp` groups."""
-    if x.shape[1] > temp:
+    """On cells collapsed to at most `temp` groups, if x is not in blocks."""
+    if x.shape[1] > temp and not at_once(x):
         x = group_sums(x, random_labels(x.shape[1], temp, rng), temp)
 
-    def divide(members: np.ndarray, parts: int) -> np.ndarray:
-        if len(members) < parts:
-            return np.zeros(len(members), np.int64)
-        return fit_features(x[members], parts, p, rng, max_iter=3, split=False).y
+    def divide(parts: int) -> np.ndarray:
+        return fit_features(x, parts, p, rng, max_iter=3, split=False).y
 
-    return split_start(x.shape[0], modules, rng, divide, lambda y: ll_features(x, y, int(y.max()) + 1, p))
+    return split_start(x.shape[0], modules, rng, divide, lambda y, groups: halves(x, None, y, groups, p, rng, "y"), lambda trials, levels: lls_features(x, trials, levels, p))
 
 
-def best_single_split(labels: np.ndarray, divide, likelihood, least: int = 3) -> tuple[np.ndarray, float]:
+def best_single_split(labels: np.ndarray, halve, likelihoods, least: int = 3) -> tuple[np.ndarray, float]:
     """labels with the one group divided in two that gives the best likelihood."""
-    new, options = int(labels.max()) + 1, []
-    for g in range(new):
-        members = np.flatnonzero(labels == g)
-        if len(members) <= least:
-            continue
-        half = divide(members)
-        if len(np.unique(half)) < 2:
-            continue
-        trial = labels.copy()
-        trial[members[half == 1]] = new
-        options.append((likelihood(trial), -g, trial))
-    if not options:
+    new = int(labels.max()) + 1
+    groups = [g for g in range(new) if (labels == g).sum() > least]
+    half, trials = halve(labels, groups), []
+    for g in groups:
+        if len(np.unique(half[g])) == 2:
+            trial = labels.copy()
+            trial[np.flatnonzero(labels == g)[half[g] == 1]] = new
+            trials.append(trial)
+    if not trials:
         raise ValueError("no group is large enough to be split")
-    value, _, labels = max(options, key=lambda o: o[:2])
-    return labels, value
+    values = likelihoods(trials, new + 1)
+    best = max(range(len(trials)), key=lambda i: (values[i], -i))
+    return trials[best], values[best]
 
 
 #: Linkages that work on squared distances.

@@ -625,7 +625,7 @@ def _(x):
 
 @query("resampled_perplexity")
 def _(x):
-    m = fits.small(x)
+    m = fits.matrix_of(x)
     s = x.counts.sparkSession
     return fits.resampled_perplexity(s, m, "c", fits.run_all(s, m, "c", fits.grid({"K": [2, 3]}, 1, 5), fits.Priors()), resamples=2)
 

@@ -151,7 +151,7 @@ def test_a_wide_matrix_is_fitted_whole(spark):
     n = 20_000  # 400 million positions
     counts = spark.range(n).select(F.col("id").alias("feature_id"), F.explode(F.array("id", (F.col("id") + 2) % n)).alias("cell_id"), F.lit(3).cast("long").alias("n"))
     x = matrix.Experiment(counts, spark.range(n).select(F.col("id").alias("cell_id"), F.lit("s").alias("sample")), spark.range(n).select(F.col("id").alias("feature_id")), {})
-    m = fits.small(x)
+    m = fits.matrix_of(x)
     assert m.x.shape == (n, n) and m.x.values.sum() == 6 * n
 
 
@@ -181,6 +181,7 @@ def test_registered_fits_are_not_cut_short(monkeypatch):
 def test_large_fits_keep_chains_and_algorithm(planted, monkeypatch):
     e, cells, both = planted[0], [], []
     monkeypatch.setattr(fits, "LIMIT", 10)
+    monkeypatch.setattr(fits, "STATE", 10)
     real = fits.modules_distributed
     monkeypatch.setattr(fits, "cluster_cells_distributed", lambda x, k, p, seed, n, algorithm: cells.append((seed, algorithm)) or fits.Model("c", {}, -seed, []))
     monkeypatch.setattr(fits, "modules_distributed", lambda x, k, l, p, seed, n=200, algorithm="EM": both.append((seed, algorithm)) or fits.Model("cg", {}, -seed, []))
@@ -190,3 +191,46 @@ def test_large_fits_keep_chains_and_algorithm(planted, monkeypatch):
     assert m.log_lik == max(m.history) > m.history[0] and m.z.count() == 60 and m.y.count() == 40
     m = real(e, 0, 4, max_iter=2)
     assert m.log_lik == max(m.history) > m.history[0] and m.z is None and m.y.count() == 40
+
+
+def test_blocks_find_what_was_planted(planted, monkeypatch):
+    from countloom.plans import blocks
+
+    e, x, z, y = planted
+    monkeypatch.setattr(fits, "LIMIT", 10)
+    monkeypatch.setattr(blocks, "TASK", 500)
+    m = fits.matrix_of(e)
+    assert m.in_blocks and (m.x.sum(axis=0) == x.sum(axis=0)).all() and (m.x.sum(axis=1) == x.sum(axis=1)).all()
+    i, j = np.nonzero(x)
+    sparse, local, s, p = kernels.Sparse(i, j, x[i, j], x.shape), blocks.Local(x), np.arange(60) % 2, Priors()
+    for own in (m.x, local):
+        assert (kernels.group_sums(own, z, 3) == kernels.group_sums(sparse, z, 3)).all()
+        assert np.allclose(kernels.cell_scores(own, s, z, 3, p), kernels.cell_scores(sparse, s, z, 3, p))
+        assert np.allclose(kernels.cell_conditionals(own, s, z.copy(), 3, p), kernels.cell_conditionals(sparse, s, z.copy(), 3, p))
+        assert np.allclose(kernels.feature_conditionals(own, y.copy(), 4, p), kernels.feature_conditionals(sparse, y.copy(), 4, p))
+        assert np.allclose(kernels.lls_cells(own, s, [z, z[::-1].copy()], 3, p), kernels.lls_cells(sparse, s, [z, z[::-1].copy()], 3, p))
+        assert np.allclose(kernels.lls_features(own, [y, y[::-1].copy()], 4, p), kernels.lls_features(sparse, [y, y[::-1].copy()], 4, p))
+    cells = fits.cluster_cells(e, 3, chains=1)
+    assert agreement([r.z for r in cells.z.orderBy("cell_id").collect()], z) > 0.95
+    features = fits.cluster_features(e, 4, chains=2, max_iter=12)
+    assert agreement([r.y for r in features.y.orderBy("feature_id").collect()], y) > 0.8
+    both = fits.cluster_both(e, 3, 4, chains=1, max_iter=12)
+    assert agreement([r.z for r in both.z.orderBy("cell_id").collect()], z) > 0.9 and both.log_lik == max(both.history)
+
+
+def test_searches_in_blocks(planted, monkeypatch):
+    e, x, _, _ = planted
+    want = {r.K: r.mean_perplexity for r in fits.grid_search(e, "c", {"K": [2, 3]}, chains=2).collect()}
+    monkeypatch.setattr(fits, "LIMIT", 10)
+    got = {r.K: r.mean_perplexity for r in fits.grid_search(e, "c", {"K": [2, 3]}, chains=2).collect()}
+    assert set(got) == {2, 3} and got[3] == pytest.approx(want[3], rel=0.05)
+    for axis, n in (("z", 60), ("y", 40)):
+        rows = fits.recursive_split(e, axis, 2, 4).orderBy("index").collect()
+        assert [len(set(r[axis])) for r in rows] == [2, 3, 4] and {len(r[axis]) for r in rows} == {n}
+    m = fits.matrix_of(e)
+    spark = e.counts.sparkSession
+    points = fits.resampled_perplexity(spark, m, "c", fits.run_all(spark, m, "c", fits.grid({"K": [2]}, 1, 5), Priors()), resamples=2).collect()
+    monkeypatch.setattr(fits, "LIMIT", 10_000)
+    m = fits.matrix_of(e)
+    same = fits.resampled_perplexity(spark, m, "c", fits.run_all(spark, m, "c", fits.grid({"K": [2]}, 1, 5), Priors()), resamples=2).collect()
+    assert [r.perplexity for r in points] == pytest.approx([r.perplexity for r in same])
