@@ -115,21 +115,23 @@ def _trials(b: Block, state: dict) -> np.ndarray:
     return np.stack(out)
 
 
-def packed(entries: DataFrame, item: str, other: str, parts: int) -> DataFrame:
-    """(item, other, n) as rows of whole items."""
+def packed(counts: DataFrame, item: str, other: str, ids: dict[str, np.ndarray], parts: int) -> DataFrame:
+    """(item, other, n) as rows of whole items, numbered as ids has them in order."""
+    sent = counts.sparkSession.sparkContext.broadcast(ids)  # at most STATE of each
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        i, j, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        i, j = (np.concatenate([np.searchsorted(sent.value[c], b.column(k).to_numpy(zero_copy_only=False)) for b in held]) for k, c in enumerate((item, other)))
+        n = np.concatenate([b.column(2).to_numpy() for b in held])
         del held
         at, first = np.unique(i, return_index=True)
         first = np.append(first, len(i))
         for b in Block(at, first, j, n).parts(BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b.at.astype(np.int32), b.first.astype(np.int64), b.j.astype(np.int32), b.n.astype(np.int64))], ["at", "first", "j", "n"])
 
-    dealt = entries.select(F.col(item).alias("i"), F.col(other).alias("j"), "n").repartitionByRange(parts, "i").sortWithinPartitions("i", "j")
+    dealt = counts.select(item, other, "n").repartitionByRange(parts, item).sortWithinPartitions(item, other)
     return dealt.mapInArrow(rows, "at binary, first binary, j binary, n binary")
 
 
@@ -142,11 +144,14 @@ class Blocks:
         self.draw: list[int] | None = None
 
     @classmethod
-    def of(cls, entries: DataFrame, size: int, shape: tuple[int, int], tables: Tables) -> Blocks:
-        """entries: (f, c, n), numbered from 0; every feature and cell has some."""
+    def of(cls, counts: DataFrame, size: int, ids: dict[str, np.ndarray], tables: Tables) -> Blocks:
+        """counts: of `size` entries; ids: of each axis, in order; every feature and cell has counts."""
         parts = max(1, -(-size // TASK))
-        own = tuple(tables.save(packed(entries, a, b, parts), f"by_{a}") for a, b in (("f", "c"), ("c", "f")))
-        return cls(own, shape)
+        own = []
+        for a, b in (("feature_id", "cell_id"), ("cell_id", "feature_id")):
+            own.append(tables.save(packed(counts, a, b, ids, parts), f"by_{a}"))
+            tables.settle()
+        return cls(tuple(own), (len(ids["feature_id"]), len(ids["cell_id"])))
 
     @property
     def T(self) -> Blocks:  # noqa: N802

@@ -65,31 +65,34 @@ def _ids(df: DataFrame, *columns: str) -> pa.Table:
 
 
 def matrix_of(x: Experiment, limit: int | None = None) -> Matrix:
-    """The matrix by its entries if these are at most `limit` (LIMIT), in blocks beyond. The counts are computed once."""
+    """The matrix by its entries if these are at most `limit` (LIMIT), in blocks beyond. The counts are computed once. A cell
+    or feature without counts is an error."""
     limit = LIMIT if limit is None else limit
     spark = x.counts.sparkSession
     tables = Tables(spark)
-    x = replace(x, counts=tables.save(x.counts.select("feature_id", "cell_id", F.col("n").cast("long").alias("n")), "counts"))
-    filters.validate(x.counts, x.features, x.cells)
-    size, n_cells = x.counts.count(), x.cells.count()
-    n_features = x.counts.select("feature_id").distinct().count()
-    if max(n_cells, n_features) > STATE:
-        raise TooLarge(f"{max(n_cells, n_features)} items are too many for the driver")
-    cells, features = _ids(x.cells, "cell_id", "sample"), _ids(x.counts.select("feature_id").distinct(), "feature_id")
-    ids, names = (t.column(0).to_numpy(zero_copy_only=False) for t in (cells, features))
+    counts = tables.save(x.counts.select("feature_id", "cell_id", F.col("n").cast("long").alias("n")), "counts")
+    tables.settle()
+    size = counts.count()
+    most = max(x.cells.count(), x.features.count())
+    if most > STATE:
+        raise TooLarge(f"{most} items are too many for the driver")
+    cells, ids = _ids(x.cells, "cell_id", "sample"), {}
+    for axis, own in (("cell_id", cells), ("feature_id", _ids(x.features, "feature_id"))):
+        ids[axis] = own.column(0).to_numpy(zero_copy_only=False)
+        have = _ids(counts.select(axis).distinct(), axis).column(0).to_numpy(zero_copy_only=False)
+        if not np.array_equal(ids[axis], have):
+            odd = np.setxor1d(ids[axis], have)[0]
+            raise ValueError(f"{axis} {odd} " + ("has no counts" if odd in ids[axis] else "has counts but is not listed"))
     samples = np.unique(cells.column(1).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
-    if max(size, n_cells, n_features) <= limit:
-        t = x.counts.toArrow()
+    if max(size, most) <= limit:
+        t = counts.toArrow()
         f, c, n = (t.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         tables.drop("counts")
-        return Matrix(kernels.Sparse(np.searchsorted(names, f), np.searchsorted(ids, c), n, (len(names), len(ids))), names, ids, samples)
-    number = lambda column, own, name: spark.createDataFrame(pa.table({column: pa.array(own), name: pa.array(np.arange(len(own), dtype=np.int32))}))
-    entries = x.counts.join(number("feature_id", names, "f"), "feature_id").join(number("cell_id", ids, "c"), "cell_id").select("f", "c", "n")
-    entries = tables.save(entries, "entries")
-    tables.drop("counts")
-    blocks = Blocks.of(entries, size, (len(names), len(ids)), tables)
-    tables.drop("entries")
-    return Matrix(blocks, names, ids, samples)
+        whole = kernels.Sparse(np.searchsorted(ids["feature_id"], f), np.searchsorted(ids["cell_id"], c), n, tuple(len(ids[a]) for a in ("feature_id", "cell_id")))
+    else:
+        whole = Blocks.of(counts, size, ids, tables)
+        tables.drop("counts")
+    return Matrix(whole, ids["feature_id"], ids["cell_id"], samples)
 
 
 def grid(params: dict[str, list[int]], chains: int, seed: int) -> list[dict]:

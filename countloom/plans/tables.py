@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,3 +29,8 @@ class Tables:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def settle(self) -> None:
+        """Let go of the shuffle files of queries that are done: they stay until the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
