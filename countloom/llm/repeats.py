@@ -1,11 +1,12 @@
-"""What the two substring operators share: finding the windows of a corpus that also start elsewhere.
+"""What the two substring operators share: gathering the windows of a corpus that may also start elsewhere.
 
 Every window of `window` units (bytes or words) picks an anchor: its k-gram of least hash, the first of equals. Equal
 windows pick equal anchors. A run of starts with the same anchor is one segment, and a segment with its anchor's hash and
-its own hash is all that is shuffled for most texts. Segments whose anchor occurs once are done. Segments that are equal
-are repeats as a whole, without a look at their text. For anchors with several different segments one text of each kind
-is fetched and compared start by start, by the operator's own method, in tasks that hold whole anchors. Anchors with more
-kinds than `hot` are compared through an aggregation on 128-bit window hashes instead, which no group can overfill.
+its own hash is all that is shuffled for most texts. Segments whose anchor occurs once are done. Of every other kind of
+segment (anchor and own hash) one text is fetched, and a second one if there is one: whether a start repeats is decided by
+the operator's own method, which compares the texts of all kinds of an anchor in one task. An anchor with more than `hot`
+kinds would overfill a task: its segments are taken as texts of their own and cut anew by longer grams, at last by whole
+windows, so that they are dealt to many tasks and go through the same comparison.
 
 Results depend on a text alone, so they are kept by text (128 bits) and copies are one entry.
 """
@@ -19,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from countloom.llm.common import Scratch, text_keys
-from countloom.llm.words import SPACE, U, Words, byte_values, mix, prefix_sums, slices, sliding_first_min, span_hash, spread
+from countloom.llm.words import SPACE, Spans, U, Words, byte_values, mix, prefix_sums, slices, sliding_first_min, span_hash
 
 PIECE = 1 << 21
 KEYS = ["t1", "t2"]
@@ -52,7 +52,7 @@ def segments(x: np.ndarray, first: np.ndarray, window: int, k: int) -> dict[str,
         stop_at = fits.copy()
         stop_at[:-1] &= ~(fits[1:] & (anchor[1:] == anchor[:-1]))
         stop = np.flatnonzero(stop_at) + 1
-        own = mix(span_hash(sums, start, stop + window - 1) + (anchor[start] - start).astype(U))
+        own = mix(Spans(part)(start, stop + window - 1) + (anchor[start] - start).astype(U) * U(0x9E3779B97F4A7C15))
         for c, v in zip(out, (text[start], grams[anchor[start]], own, start + base - first[text[start]], stop - start), strict=True):
             out[c].append(v)
     kinds = (np.int64, U, U, np.int64, np.int64)
@@ -73,7 +73,7 @@ def all_segments(docs: DataFrame, by: str, window: int, k: int) -> DataFrame:
 
 
 def fetched(docs: DataFrame, by: str, window: int) -> DataFrame:
-    """docs: text and wanted, a list of (ah, sh, p, n, c, hot). The bytes of each wanted segment."""
+    """docs: text and wanted, a list of (ah, sh, p, n, which, hot). The bytes of each wanted segment."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches):
@@ -92,16 +92,16 @@ def fetched(docs: DataFrame, by: str, window: int) -> DataFrame:
             for i in range(0, len(a), 4096):  # batches of a few MB
                 own = [raw[s:t] for s, t in zip(a[i : i + 4096].tolist(), b[i : i + 4096].tolist(), strict=True)]
                 few = flat.slice(i, 4096)
-                yield pa.RecordBatch.from_arrays([few.field("ah"), few.field("sh"), few.field("c"), few.field("n"), few.field("hot"), pa.array(own, pa.binary())], ["ah", "sh", "c", "n", "hot", "bytes"])
+                yield pa.RecordBatch.from_arrays([few.field("ah"), few.field("sh"), few.field("which"), few.field("n"), few.field("hot"), pa.array(own, pa.binary())], ["ah", "sh", "which", "n", "hot", "bytes"])
 
-    return docs.select("text", "wanted").mapInArrow(rows, "ah long, sh long, c long, n int, hot boolean, bytes binary")
+    return docs.select("text", "wanted").mapInArrow(rows, "ah long, sh long, which long, n int, hot boolean, bytes binary")
 
 
-Compare = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+Compare = Callable[[list[bytes], np.ndarray], np.ndarray]
 
 
-def runs(mask: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    """Per segment of n starts: the runs (start, length) of marked starts."""
+def runs(mask: np.ndarray, n: np.ndarray, own: list[bytes], by: str, window: int) -> pa.ListArray:
+    """Per segment of n starts: the runs (start, length, path) of marked starts; path is a hash of what a run covers."""
     first = np.concatenate([[0], np.cumsum(n)])
     before = np.concatenate([[False], mask[:-1]])
     before[first[:-1]] = False
@@ -109,15 +109,18 @@ def runs(mask: np.ndarray, n: np.ndarray) -> pa.ListArray:
     after[first[1:] - 1] = False
     start, stop = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
     of = np.searchsorted(first, start, "right") - 1
-    values = pa.StructArray.from_arrays([pa.array(start - first[of]), pa.array(stop - start)], ["start", "length"])
+    x, begin, _ = units(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), by)
+    at = begin[of] + start - first[of]
+    path = Spans(x)(at, at + stop - start + window - 1) if len(of) else np.zeros(0, U)
+    values = pa.StructArray.from_arrays([pa.array(start - first[of]), pa.array(stop - start), pa.array(path.view(np.int64))], ["start", "length", "path"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)), pa.int32()), values)
 
 
-RESULT = "ah long, sh long, spans array<struct<start:long,length:long>>"
+SPANS = "array<struct<start:long,length:long,path:long>>"
 
 
-def compared(payload: DataFrame, compare: Compare, limit: int) -> DataFrame:
-    """compare(bytes, n, c) marks repeated starts; it sees whole anchors, several up to `limit` bytes or a single one."""
+def compared(payload: DataFrame, compare: Compare, limit: int, by: str, window: int) -> DataFrame:
+    """compare(bytes, n) marks repeated starts; it sees whole anchors, several up to `limit` bytes or a single one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -125,74 +128,69 @@ def compared(payload: DataFrame, compare: Compare, limit: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                ah, sh, c, n, own = (list(x) for x in zip(*held, strict=True))
+                ah, sh, n, own = (list(x) for x in zip(*held, strict=True))
                 n = np.array(n, np.int64)
-                mask = compare(own, n, np.array(c, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ah, pa.int64()), pa.array(sh, pa.int64()), runs(mask, n)], ["ah", "sh", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(ah, pa.int64()), pa.array(sh, pa.int64()), runs(compare(own, n), n, own, by, window)], ["ah", "sh", "spans"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if size >= limit and held[-1][0] != row[0]:
                     yield from flush()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[3])
         yield from flush()
 
-    dealt = payload.select("ah", "sh", "c", "n", "bytes").repartition("ah").sortWithinPartitions("ah", "sh")
-    return dealt.mapInArrow(rows, RESULT)
-
+    dealt = payload.select("ah", "sh", "n", "bytes").repartition("ah").sortWithinPartitions("ah", "sh")
+    return dealt.mapInArrow(rows, f"ah long, sh long, spans {SPANS}")
 
-def compared_by_hash(payload: DataFrame, by: str, window: int) -> DataFrame:
-    """The same for anchors of very many kinds: windows as 128-bit hashes, counted with map-side combining."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(4).to_pylist()
-            off = np.cumsum([0, *map(len, own)])
-            x, first, _ = units(np.frombuffer(b"".join(own), np.uint8), off, by)
-            n = batch.column(3).to_numpy()
-            at = np.repeat(first[:-1], n) + (inner := spread(n))
-            w1 = span_hash(prefix_sums(x), at, at + window)
-            w2 = span_hash(prefix_sums(mix(x ^ U(0x5851F42D4C957F2D))), at, at + window)
-            of = batch.select([0, 1, 2]).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(inner), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], ["ah", "sh", "c", "i", "w1", "w2"])
-
-    windows = payload.select("ah", "sh", "c", "n", "bytes").mapInArrow(rows, "ah long, sh long, c long, i long, w1 long, w2 long")
-    often = windows.groupBy("w1", "w2").agg(F.sum("c").alias("all")).where("all > 1").select("w1", "w2")
-    marked = windows.join(often, ["w1", "w2"], "left_semi").groupBy("ah", "sh").agg(F.sort_array(F.collect_list("i")).alias("i"))  # at most a segment's starts
-    return marked.select("ah", "sh", F.transform("i", lambda x: F.struct(x.alias("start"), F.lit(1).cast("long").alias("length"))).alias("spans"))
-
-
-def repeated(docs: DataFrame, scratch: Scratch, by: str, window: int, k: int, compare: Compare, limit: int, hot: int = 20_000) -> DataFrame:
-    """(t1, t2, path, start, length): for each text, the runs of starts whose windows also start elsewhere; runs of equal
-    path have equal words or bytes."""
-    base = docs.select("doc_id", *text_keys(F.col("text")), "text")
-    every = scratch.save(all_segments(base, by, window, k), "segments")
-    anchors = every.groupBy("ah").agg(F.count("*").alias("all"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("`all` > 1")
+def repeated(docs: DataFrame, scratch: Scratch, by: str, window: int, grams: list[int], compare: Compare, limit: int, hot: int, level: int = 0) -> DataFrame:
+    """(t1, t2, path, start, length): for each text, the runs of starts whose windows also start elsewhere; runs are of one
+    path if they cover equal words or bytes. docs: doc_id, t1, t2, text; rows of equal t1, t2 have equal texts."""
+    name = lambda x: f"{x}{level or ''}"
+    every = scratch.save(all_segments(docs, by, window, grams[0]), name("segments"))
+    anchors = every.groupBy("ah").agg(F.count("*").alias("all")).where("`all` > 1")
     # a table of its own: a join of two plain exchanges is one that adaptive execution may split at a hot anchor
-    anchors = scratch.save(anchors.select("ah", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
-    shared = scratch.save(every.join(anchors, "ah"), "shared")
-    scratch.drop("segments", "anchors")
-    turn = F.xxhash64("doc_id", "t1", "p")
-    kinds = shared.withColumn("turn", turn).groupBy("ah", "sh", "several").agg(F.count("*").alias("c"), F.min("n").alias("n"), *[F.min_by(x, "turn").alias(x) for x in ("doc_id", "t1", "t2", "p")])
-    kinds = scratch.save(kinds, "kinds")
-    several = kinds.where("several")
-    many = several.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("ah", F.lit(True).alias("hot"))
-    several = several.join(many, "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = several.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("ah", "sh", "p", "n", "c", "hot")).alias("wanted"))  # at most a text's segments
+    anchors = scratch.save(anchors.select("ah"), name("anchors"))
+    shared = scratch.save(every.join(anchors, "ah"), name("shared"))
+    scratch.drop(name("segments"), name("anchors"))
+    turn, place = F.xxhash64("doc_id", "t1", "p"), F.struct("doc_id", "t1", "t2", "p")
+    kinds = shared.withColumn("turn", turn).withColumn("place", place).groupBy("ah", "sh").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min_by("place", "turn").alias("one"), F.max_by("place", "turn").alias("two"))
+    kinds = scratch.save(kinds, name("kinds"))
+    sizes = kinds.groupBy("ah").agg(F.count("*").alias("kinds"))
+    if len(grams) > 1:
+        sizes = sizes.withColumn("hot", F.col("kinds") > hot)
+    else:  # whole windows: an anchor has one kind, unless hashes collide
+        sizes = sizes.withColumn("hot", F.lit(False))
+    sizes = scratch.save(sizes, name("sizes"))
+    # a kind that occurs once, of an anchor without any other, cannot repeat
+    asked = kinds.join(sizes, "ah").where("kinds > 1 OR c > 1")
+    both = F.when(F.col("c") > 1, F.array("one", "two")).otherwise(F.array("one"))
+    asked = asked.select("ah", "sh", "n", "hot", F.posexplode(both).alias("which", "place")).select("ah", "sh", "n", "hot", F.col("which").cast("long").alias("which"), "place.*")
+    wanted = asked.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("ah", "sh", "p", "n", "which", "hot")).alias("wanted"))  # at most a text's segments, twice
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("t1").alias("w1"), F.col("t2").alias("w2"), "wanted")
-    met = base.join(wanted, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    payload = scratch.save(fetched(met, by, window), "payload")
-    found = compared(payload.where("not hot"), compare, limit)
+    met = docs.join(wanted, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    payload = scratch.save(fetched(met, by, window), name("payload"))
+    found = compared(payload.where("not hot"), compare, limit, by, window).where(F.size("spans") > 0).dropDuplicates(["ah", "sh"])
     if not payload.where("hot").isEmpty():
-        found = found.unionByName(compared_by_hash(payload.where("hot"), by, window))
-    found = scratch.save(found.where(F.size("spans") > 0), "found")
-    scratch.drop("payload")
-    whole = kinds.where("c > 1").select("ah", "sh", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("length"))).alias("spans"))
-    part = found.join(kinds.where("c = 1").select("ah", "sh"), ["ah", "sh"], "left_semi")
-    spans = shared.select("ah", "sh", *KEYS, "p").distinct().join(whole.unionByName(part), ["ah", "sh"]).select("ah", "sh", *KEYS, "p", F.explode("spans").alias("s"))
-    return spans.select(*KEYS, F.xxhash64("ah", "sh", "s.start", "s.length").alias("path"), (F.col("p") + F.col("s.start")).alias("start"), F.col("s.length").alias("length"))
+        again = payload.where("hot").select(F.col("which").alias("doc_id"), F.col("ah").alias("t1"), F.col("sh").alias("t2"), F.col("bytes").alias("text"))
+        finer = repeated(again, scratch, by, window, grams[1:], compare, limit, hot, level + 1)
+        finer = finer.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "length", "path")).alias("spans"))  # at most a segment's starts
+        found = found.unionByName(finer.select(F.col("t1").alias("ah"), F.col("t2").alias("sh"), "spans"))
+    found = scratch.save(found, name("found"))
+    scratch.drop(name("payload"), name("kinds"), name("sizes"))
+    spans = shared.select("ah", "sh", *KEYS, "p").distinct().join(found, ["ah", "sh"]).select("ah", "sh", *KEYS, "p", F.explode("spans").alias("s"))
+    return spans.select(*KEYS, "s.path", (F.col("p") + F.col("s.start")).alias("start"), F.col("s.length").alias("length"))
+
+
+def finer_grams(window: int, k: int) -> list[int]:
+    """Grams to cut by: the first, a longer one for hot anchors, and whole windows."""
+    return [k, max(k, window * 3 // 4), window]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", *text_keys(F.col("text")), "text")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Suffix-array dedup: every byte covered by a `window`-byte string that also starts anywhere else is removed.
 
-The starts that can repeat are found by repeats.py. A task sorts the suffixes at its starts in two stages. Suffixes that
+The starts that can repeat, of copies two of each, are gathered by repeats.py; a start is removed only if the order of
+suffixes finds its neighbour. A task sorts the suffixes at its starts in two stages. Suffixes that
 are smaller than their successors are sorted directly, by their first `window` bytes. The rest is induced: buckets (first
 bytes) are scanned in ascending order, and each sorted suffix hands its predecessor, if that is larger than its
 successor, to the predecessor's bucket; the larger suffixes of a bucket come before the smaller ones. A bucket's scan is
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from countloom.llm.common import Scratch
-from countloom.llm.repeats import covered, repeated, with_spans
+from countloom.llm.repeats import covered, finer_grams, keyed, repeated, with_spans
 from countloom.llm.words import slices, spread
 
 WINDOW, GRAM = 400, 48
@@ -102,7 +103,7 @@ def common_prefixes(order: np.ndarray, t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def compare(depth: int):
-    def marks(own: list[bytes], n: np.ndarray, c: np.ndarray) -> np.ndarray:
+    def marks(own: list[bytes], n: np.ndarray) -> np.ndarray:
         order, t = suffix_order(own, n, depth)
         same = common_prefixes(order, t, depth) >= depth
         hit = np.zeros(len(t), bool)
@@ -110,14 +111,14 @@ def compare(depth: int):
         hit[order[np.flatnonzero(same) - 1]] = True
         size = np.array([len(x) for x in own], np.int64)
         begin = np.cumsum(size + 1) - size - 1
-        return hit[np.repeat(begin, n) + spread(n)] | np.repeat(c > 1, n)
+        return hit[np.repeat(begin, n) + spread(n)]
 
     return marks
 
 
-def removed(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, limit: int = 768 << 10, hot: int = 20_000, with_kept: bool = True) -> DataFrame:
+def removed(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, limit: int = 768 << 10, hot: int = 4000, with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed: the runs, kept: the bytes that stay, if asked for)."""
-    spans = repeated(docs, scratch, "bytes", window, gram, compare(window), limit, hot)
+    spans = repeated(keyed(docs), scratch, "bytes", window, finer_grams(window, gram), compare(window), limit, hot)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches):

@@ -258,7 +258,7 @@ def removed_units(items, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 20_000])
+@pytest.mark.parametrize("hot", [0, 4000])
 def test_debruijn(spark, hot):
     texts = corpus(2)
     items = [WORD.findall(raw(t)) for t in texts]
@@ -268,12 +268,12 @@ def test_debruijn(spark, hot):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].kept) == (len(x), sum(marks), hashlib.sha256(kept).hexdigest(), kept.decode())
 
 
-@pytest.mark.parametrize("hot", [0, 20_000])
-def test_suffix_arrays(spark, hot):
+@pytest.mark.parametrize(("window", "gram", "hot"), [(120, 16, 0), (120, 16, 3), (suffixes.WINDOW, suffixes.GRAM, 4000)])
+def test_suffix_arrays(spark, window, gram, hot):
     texts = [t and t[:4000] for t in corpus(3)]
     items = [raw(t) for t in texts]
-    got = {r.doc_id: r for r in suffixes.removed(docs_of(spark, texts), Scratch(spark), window=120, gram=16, hot=hot).collect()}
-    for i, (x, marks) in enumerate(zip(items, removed_units(items, 120), strict=True)):
+    got = {r.doc_id: r for r in suffixes.removed(docs_of(spark, texts), Scratch(spark), window=window, gram=gram, hot=hot).collect()}
+    for i, (x, marks) in enumerate(zip(items, removed_units(items, window), strict=True)):
         kept = bytes(b for b, m in zip(x, marks, strict=True) if not m)
         spans = sum(m and not (j and marks[j - 1]) for j, m in enumerate(marks))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(x), sum(marks), spans, hashlib.sha256(kept).hexdigest())
@@ -291,6 +291,59 @@ def test_repeated_rows_are_repeats(spark):
     assert sorted((r.doc_id, r.n_removed) for r in out) == [(0, 200), (0, 200), (1, 0)]
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    """Thue-Morse words and their complements agree under every polynomial hash modulo 2^64."""
+    one, other = thue_morse(1024), thue_morse(1024, "ba")
+    docs = docs_of(spark, [" ".join([w] + [f"w{i}" for i in range(34)]) for w in (one, other)])
+    assert {r.component_id for r in minhash.near_duplicates(docs_of(spark, [one + " a b c d", other + " a b c d"]), Scratch(spark)).collect()} == {0, 1}
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert [r.n_hit for r in decontaminate.report(docs, bench).orderBy("doc_id").collect()] == [1, 0]
+    assert {r.n_removed for r in debruijn.removed(docs, Scratch(spark)).collect()} == {0}
+    texts = docs_of(spark, [" ".join(thue_morse(2048, x)) for x in (["a", "b"], ["b", "a"])] + [thue_morse(3000), thue_morse(3000, "ba")])
+    items = [WORD.findall(raw(r.text)) for r in texts.orderBy("doc_id").collect()]
+    got = {r.doc_id: r.n_removed for r in debruijn.removed(texts, Scratch(spark)).collect()}
+    assert got == {i: sum(m) for i, m in enumerate(removed_units(items, 35))}
+    items = [raw(r.text) for r in texts.orderBy("doc_id").collect()]
+    got = {r.doc_id: r.n_removed for r in suffixes.removed(texts, Scratch(spark)).collect()}
+    assert got == {i: sum(m) for i, m in enumerate(removed_units(items, suffixes.WINDOW))}
+
+
+def test_spans_do_not_collide():
+    x, y = (np.array([words.U(5 if c == "a" else 9) for c in thue_morse(4096, o)]) for o in ("ab", "ba"))
+    ends = np.array([0]), np.array([4096])
+    assert words.span_hash(words.prefix_sums(x), *ends) == words.span_hash(words.prefix_sums(y), *ends)
+    assert words.Spans(x)(*ends) != words.Spans(y)(*ends)
+    both = words.Spans(np.concatenate([x, y, x]))
+    assert both(np.array([0, 1]), np.array([4096, 90])).tolist() == both(np.array([8192, 8193]), np.array([12288, 8282])).tolist()
+
+
+def test_compaction_decides_what_is_removed(spark, monkeypatch):
+    rng = random.Random(2)
+    passage = prose(rng, 400, 3000)
+    texts = [f"{prose(rng, 40)} {passage} {prose(rng, 40)}" for _ in range(5)]
+    ranked = debruijn.compacted
+    paths = []
+    monkeypatch.setattr(debruijn, "compacted", lambda p, scratch: paths.append((p.count(), ranked(p, scratch))) or paths[-1][1])
+    assert {r.n_removed for r in debruijn.removed(docs_of(spark, texts), Scratch(spark)).collect()} == {400}
+    assert paths[0][0] > 50 and paths[0][1].count() == 5
+
+
+def test_texts_of_several_slices(spark, monkeypatch):
+    from countloom.llm import repeats
+
+    monkeypatch.setattr(repeats, "PIECE", 3000)
+    rng = random.Random(8)
+    long = prose(rng, 30_000, 5000)
+    texts = ["x " + long[70_000:71_000] + " y", long, long[:90_000] + " z", None]
+    items = [WORD.findall(raw(t)) for t in texts]
+    got = {r.doc_id: r.n_removed for r in debruijn.removed(docs_of(spark, texts), Scratch(spark)).collect()}
+    assert got == {i: sum(m) for i, m in enumerate(removed_units(items, 35))}
+
+
 def test_two_stage_sort():
     rng = random.Random(5)
     for _ in range(200):
@@ -304,7 +357,7 @@ def test_two_stage_sort():
         assert keys == sorted(keys) and len(keys) == sum(n)
         count = collections.Counter(o[i : i + depth] for o, k in zip(own, n, strict=True) for i in range(k))
         want = [count[o[i : i + depth]] > 1 for o, k in zip(own, n, strict=True) for i in range(k)]
-        assert suffixes.compare(depth)(own, np.array(n), np.ones(len(n), int)).tolist() == want
+        assert suffixes.compare(depth)(own, np.array(n)).tolist() == want
 
 
 def invented(rng, syllables, n):
