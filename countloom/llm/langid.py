@@ -4,14 +4,15 @@ A word that the model knows scores its log frequency in each language. A word it
 n-grams, from NGRAMS[0] characters down to one: at each place the longest known n-gram that begins there counts. Words
 are runs of ASCII letters and non-ASCII characters, with a space on either side for the n-grams.
 
-The model is fitted on a bounded sample of every language: at most `per_language` texts each (those of least hash, up to
-`longest` bytes), and from SHARED languages on fewer, so that their number stays, but never below FEWEST. It holds at most
-`words` words and `grams` n-grams, dealt out evenly by language, but LEAST of each for a language if that is more. Scores are
-kept for the languages that have a word only. Prediction reads every text whole.
+The model is fitted on a bounded sample of whole texts of every language: those of least hash, at most `per_language` of each,
+from SHARED languages on fewer, so that their number stays, but never below FEWEST; and of each language at most its
+share of ROOM bytes and the text that passes it. Either bound is dealt out over BUCKETS buckets of hashes, so that a language with
+many documents is many groups. It holds at most `words` words and `grams` n-grams, dealt out evenly by language, but LEAST of
+each for a language if that is more. Scores are kept for the languages that have a word only. Prediction reads every text whole.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; if there is nothing to learn from, every text
-is; ties go to the language that comes first by code point; repeated rows get equal results; other columns are not
-looked at.
+is; ties go to the language that comes first by code point; repeated rows get equal results, and each counts while learning; very long
+texts are read whole; an empty table gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from countloom.llm.words import U, Words, mix, runs_of, slices, table
 NOT_LETTER = table([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 NGRAMS = (5, 4, 3, 2, 1)
 SHARED, FEWEST, LEAST = 64, 50, 5000
+ROOM, BUCKETS = 128 << 20, 32
 SCORES = 8_000_000  # scores that are spread out at once
 _M = np.random.default_rng(11).integers(1, 1 << 62, 8, dtype=np.int64).astype(U) * U(2) + U(1)
 
@@ -195,17 +197,19 @@ def fit(texts: dict[str, list[bytes]], words: int, grams: int) -> Model:
     return Model(languages, scores(word_h, word_n, words), scores(gram_h, gram_n, grams))
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int, longest: int) -> DataFrame:
+def sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
     """At most per_language texts of each language, fewer if there are many languages (lang, text)."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.where(F.octet_length("text") <= longest).select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_language)
     names = rows.agg(F.count_distinct("lang").alias("names"))  # one row
-    most = F.greatest(F.floor(F.lit(SHARED * per_language) / F.col("names")), F.lit(FEWEST))
-    ids = ids.crossJoin(F.broadcast(names)).where(F.col("turn") <= most)
+    turn = F.xxhash64("doc_id")
+    own = Window.partitionBy("lang", "bucket").orderBy("hash", "doc_id", "size")
+    ids = rows.select("doc_id", "lang", F.octet_length("text").alias("size"), turn.alias("hash"), F.pmod(turn, F.lit(BUCKETS)).alias("bucket"))
+    before = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = ids.withColumn("turn", F.row_number().over(own)).withColumn("before", before).where(F.col("turn") <= -(-per_language // BUCKETS))
+    most = F.least(F.lit(per_language), F.greatest(F.floor(F.lit(SHARED * per_language) / F.col("names")), F.lit(FEWEST)))
+    ids = ids.crossJoin(F.broadcast(names)).where((F.col("turn") <= F.ceil(most / BUCKETS)) & (F.col("before") < F.lit(ROOM // BUCKETS) / F.col("names")))
     ids = ids.select(F.col("doc_id").alias("d"), F.col("lang").alias("l")).distinct()
-    chosen = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").where(F.octet_length("text") <= longest)
-    return chosen.select("lang", "text")
+    return rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
 
 
 def build(table: pa.Table, words: int, grams: int) -> Model:
@@ -215,9 +219,9 @@ def build(table: pa.Table, words: int, grams: int) -> Model:
     return fit(out, words, grams)
 
 
-def identify(docs: DataFrame, learn: Column, per_language: int = 2000, longest: int = 1 << 16, words: int = 200_000, grams: int = 300_000) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, per_language: int = 2000, words: int = 200_000, grams: int = 300_000) -> DataFrame:
     """(doc_id, lang_pred, score) of each document; the model learns from the rows where `learn` holds."""
-    model = fitted(sample(docs, learn, per_language, longest), lambda table: build(table, words, grams))
+    model = fitted(sample(docs, learn, per_language), lambda table: build(table, words, grams))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

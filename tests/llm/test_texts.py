@@ -162,7 +162,7 @@ def test_longest_matching_lengths():
     assert a.stream([9, 1, 2, 3, 4, 5, 2, 3])[2] == [0, 1, 2, 3, 4, 3, 1, 2]
 
 
-@pytest.mark.parametrize("limit", [1, 1 << 24])
+@pytest.mark.parametrize("limit", [300, 1 << 24])
 def test_decontamination(spark, limit):
     texts = corpus()
     items = [(0, texts[25]), (1, "Two words"), (2, None), (3, ""), (4, "!!"), (11, texts[6]), (11, texts[6])]
@@ -173,7 +173,7 @@ def test_decontamination(spark, limit):
         k = min(10, len(w))
         for j in range(len(w) - k + 1 if w else 0):
             windows[tuple(w[j : j + k])].add(i)
-    got = {r.doc_id: r for r in decontaminate.report(docs_of(spark, texts), bench, items_limit=limit).collect()}
+    got = {r.doc_id: r for r in decontaminate.report(docs_of(spark, texts), bench, Scratch(spark), items_limit=limit).collect()}
     for i, t in enumerate(texts):
         w, hit, ids = ALNUM.findall(raw(t).translate(A_Z)), set(), set()
         for k in {len(x) for x in windows}:
@@ -185,16 +185,16 @@ def test_decontamination(spark, limit):
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(ids), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
         assert sum(s.stop - s.start for s in r.spans) == len(hit)
-    out = decontaminate.cleaned(docs_of(spark, texts), bench, items_limit=limit)
+    out = decontaminate.cleaned(docs_of(spark, texts), bench, Scratch(spark), items_limit=limit)
     left = {r.doc_id: r for r in out.collect()}
     assert all((i in left) == (got[i].n_hit <= 0.5 * got[i].n_words) for i in range(len(texts)))
     assert all(left[i].text == texts[i] for i in left if not got[i].n_hit)
-    assert not decontaminate.report(out, bench).where("n_hit > 10").count() and all(r.n_chars == len(r.text or "") for r in left.values())
+    assert not decontaminate.report(out, bench, Scratch(spark)).where("n_hit > 10").count() and all(r.n_chars == len(r.text or "") for r in left.values())
 
 
 def test_an_empty_benchmark_hits_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.report(docs_of(spark, ["a b", None]), bench).where("contaminated").isEmpty()
+    assert decontaminate.report(docs_of(spark, ["a b", None]), bench, Scratch(spark)).where("contaminated").isEmpty()
 
 
 def test_jpeg_round_trip():
@@ -301,7 +301,7 @@ def test_words_that_collide_in_polynomial_hashes(spark):
     docs = docs_of(spark, [" ".join([w] + [f"w{i}" for i in range(34)]) for w in (one, other)])
     assert {r.component_id for r in minhash.near_duplicates(docs_of(spark, [one + " a b c d", other + " a b c d"]), Scratch(spark)).collect()} == {0, 1}
     bench = spark.createDataFrame([(1, one)], "item_id long, text string")
-    assert [r.n_hit for r in decontaminate.report(docs, bench).orderBy("doc_id").collect()] == [1, 0]
+    assert [r.n_hit for r in decontaminate.report(docs, bench, Scratch(spark)).orderBy("doc_id").collect()] == [1, 0]
     assert {r.n_removed for r in debruijn.removed(docs, Scratch(spark)).collect()} == {0}
     texts = docs_of(spark, [" ".join(thue_morse(2048, x)) for x in (["a", "b"], ["b", "a"])] + [thue_morse(3000), thue_morse(3000, "ba")])
     items = [WORD.findall(raw(r.text)) for r in texts.orderBy("doc_id").collect()]
@@ -440,7 +440,7 @@ def test_score_looks_at_text_only(spark):
     docs, labels = toxic_corpus(spark, 200)
     a = toxicity.scored(docs, labels, F.lit(True))
     seen = {r.text: r.toxic_score for r in a.collect()}
-    rows, count = toxicity.sample(docs, labels, F.lit(True), 3000, 1 << 16)
+    rows, count = toxicity.sample(docs, labels, F.lit(True), 3000)
     model = toxicity.build(rows.toArrow(), count, 6000)
     for text in list(seen)[:40]:
         if text:
@@ -467,3 +467,21 @@ def test_convolution_is_the_plain_one():
             for i, (w, f) in enumerate(zip(toxicity.WIDTHS, m.filters, strict=True)):
                 want = sum(e[first[d] + t + k] @ f[k] for k in range(w) if t + k < size)
                 assert np.allclose(got[i * 6 : i * 6 + 6, first[d] + t], want, atol=1e-4)
+
+
+def test_long_and_repeated_texts_are_learnt(spark):
+    """Whole texts of any length, several labels of a document, rows that come twice."""
+    rng = random.Random(11)
+    rows = [(i, invented(rng, TONGUES["xa"], 20_000), "xa") for i in range(3)] + [(10 + i, invented(rng, TONGUES["xb"], 30), "xb") for i in range(20)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    assert len(rows[0][1]) > 1 << 16
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(True)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    bad = [(i, ("zzbad zzworse " if i % 2 else "fine ") + invented(rng, TONGUES["xc"], 12_000 if i < 6 else 40), "xc") for i in range(200)]
+    labels = [(i, 1, i % 2) for i in range(200)] + [(1, 0, 0), (3, 1, 1)]
+    docs = spark.createDataFrame(bad + bad[:9], "doc_id long, text string, lang string").withColumn("toxic_score", F.lit("mine"))
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows_, count = toxicity.sample(docs, marked, F.lit(True), 3000)
+    assert rows_.count() == 209 and count == {0: 100, 1: 100}
+    kept = toxicity.clean(docs, marked)
+    assert {r.toxic_score for r in kept.collect()} == {"mine"} and kept.columns == docs.columns
