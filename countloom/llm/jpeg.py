@@ -1,20 +1,24 @@
 """Media columns: payloads stored as the quantised coefficients of baseline JPEGs, and features from reading them back.
 
 A byte b is stored as the coefficient b - 128 (b < 128) or b - 127, never zero, 64 to a block in zigzag order. Huffman
-coding of quantised coefficients is lossless, so what a baseline decoder finds before it dequantises is the payload. The
-DC table gives categories 0..9 codes of 10, 9, ..., 1 bits and the AC table sizes 1..8 codes of 8, ..., 1 bits, so every
-coefficient takes the same number of bits together with its code (10 and 9): the decoder reads these tables from the
-file, sees that code and value always add up to one length, and finds all symbols of a scan at once. With any other
-tables it decodes symbol by symbol. Sequential decoding also knows several components and restart intervals.
+coding of quantised coefficients is lossless, so what a baseline decoder finds before it dequantises is the payload. A
+restart marker stands after each 9 blocks (576 bytes), where the bits begin anew at a whole byte and the DC prediction at 0.
+
+The reader parses markers and tables, cuts scans at their restart markers and Huffman-decodes the pieces of all files of a
+slice side by side: each step takes one symbol of every piece by a table of all 16-bit prefixes, with its run of zeros
+and its value bits. Scans of several components are decoded symbol by symbol.
 
 Features: width, height and a hash of the luminance thumbnail, which holds one pixel a block, from the DC coefficients
 alone. Edge cases: a null or empty text is stored as one 24 x 24 image of bytes 255; very long texts get wider images;
-equal texts give equal values.
+equal texts and repeated rows give equal values; an empty table gives an empty result; other columns are not looked at,
+whatever their names. doc_id must be a long.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,7 +30,6 @@ from pyspark.sql import DataFrame
 from countloom.llm.words import slices
 
 UNIT = 576
-DC_CATEGORIES, AC_SIZES = 9, 8
 
 
 class BadJpeg(ValueError):
@@ -52,66 +55,84 @@ def codes(counts: bytes, symbols: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-DC_SYMBOLS, AC_SYMBOLS = bytes(range(DC_CATEGORIES, -1, -1)), bytes(range(AC_SIZES, 0, -1))
-DC_COUNTS = _counts([DC_CATEGORIES + 1 - s for s in DC_SYMBOLS])
-AC_COUNTS = _counts([AC_SIZES + 1 - s for s in AC_SYMBOLS])
+#: Lengths of the codes of DC categories and AC sizes, by what letters, spaces and UTF-8 bytes need.
+DC_LENGTHS = {4: 3, 5: 3, 6: 3, 7: 3, 3: 4, 8: 4, 2: 5, 9: 5, 0: 6, 1: 6}
+AC_LENGTHS = {4: 2, 5: 2, 7: 2, 3: 4, 6: 4, 8: 5, 1: 6, 2: 6}
+RESTART = 9
+
+
+def _table(lengths: dict[int, int]) -> tuple[bytes, bytes]:
+    return _counts(list(lengths.values())), bytes(lengths)
+
+
+DC_TABLE, AC_TABLE = _table(DC_LENGTHS), _table(AC_LENGTHS)
 
 
-def _fields(counts: bytes, symbols: bytes, low: int, high: int) -> np.ndarray:
-    """Code and value bits, as one number, of each value low..high."""
-    by = {s: (n, c) for n, c, s in codes(counts, symbols)}
-    out = []
-    for v in range(low, high + 1):
-        s = abs(v).bit_length()
-        out.append(by[s][1] << s | (v if v >= 0 else v + (1 << s) - 1))
-    return np.array(out, np.int64)
+def _fields(table: tuple[bytes, bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code and value bits as one number, and how many bits, of each value -most..most; 0 bits for what has no code."""
+    by = {s: (n, c) for n, c, s in codes(*table)}
+    v = np.arange(-most, most + 1)
+    size = np.array([abs(x).bit_length() for x in v.tolist()])
+    code, bits = (np.array([by.get(x, (0, 0))[k] for x in size.tolist()], np.int64) for k in (1, 0))
+    return code << size | np.where(v >= 0, v, v + (1 << size) - 1), np.where(bits > 0, bits + size, 0)
 
 
-DC_BITS, AC_BITS = DC_CATEGORIES + 1, AC_SIZES + 1
-DC_FIELDS = _fields(DC_COUNTS, DC_SYMBOLS, -256, 256)
-AC_FIELDS = np.concatenate([_fields(AC_COUNTS, AC_SYMBOLS, -128, -1), [0], _fields(AC_COUNTS, AC_SYMBOLS, 1, 128)])
+DC_FIELDS, AC_FIELDS = _fields(DC_TABLE, 256), _fields(AC_TABLE, 128)
 
 
-def header(blocks: int, n_bytes: int) -> bytes:
+def header(blocks: int, wide: int, n_bytes: int) -> bytes:
     """All before the scan's data; the coefficients' true byte count stands in a comment."""
-    wide = 3 * -(-blocks // (3 * 8191))
-    high = -(-blocks // wide)
     quant = bytes([8] + [1] * 63)  # a DC coefficient is the mean of 8 x 8 samples, times 8
     return b"".join([
         b"\xff\xd8", _segment(0xFE, b"payload %d" % n_bytes), _segment(0xDB, b"\0" + quant),
-        _segment(0xC0, struct.pack(">BHHB", 8, high * 8, wide * 8, 1) + b"\x01\x11\x00"),
-        _segment(0xC4, b"\x00" + DC_COUNTS + DC_SYMBOLS + b"\x10" + AC_COUNTS + AC_SYMBOLS),
+        _segment(0xC0, struct.pack(">BHHB", 8, blocks // wide * 8, wide * 8, 1) + b"\x01\x11\x00"),
+        _segment(0xC4, b"\x00" + b"".join(DC_TABLE) + b"\x10" + b"".join(AC_TABLE)), _segment(0xDD, struct.pack(">H", RESTART)),
         _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00"),
     ])
 
 
-def encode(payload: np.ndarray) -> bytes:
-    """A baseline JPEG whose coefficients are the payload, a multiple of 576 bytes; if its blocks do not fill the last
-    row of a wide image, more blocks of bytes 255 do."""
-    n = len(payload)
-    blocks = n // 64
-    wide = 3 * -(-blocks // (3 * 8191))
-    fill = -blocks % wide
-    v = payload.astype(np.int16) - 128
+def encode_pieces(payload: np.ndarray) -> list[bytes]:
+    """The scan data between restart markers, of each 576 bytes."""
+    v = payload.astype(np.int64).reshape(-1, RESTART, 64) - 128
     v[v >= 0] += 1
-    v = np.concatenate([v, np.full(fill * 64, 128, np.int16)]).reshape(-1, 64)
-    out = bytearray(header(blocks, n))
-    packed = []
-    for i in range(0, len(v), 8192):  # 8192 blocks of 577 bits are whole bytes
-        part = v[i : i + 8192]
-        bits = np.empty((len(part), DC_BITS + 63 * AC_BITS), np.uint8)
-        dc = np.diff(part[:, 0], prepend=v[i - 1, 0] if i else 0)
-        bits[:, :DC_BITS] = (DC_FIELDS[dc + 256][:, None] >> np.arange(DC_BITS)[::-1]) & 1
-        ac = AC_FIELDS.astype(np.uint16)[part[:, 1:] + 128]
-        spread = bits[:, DC_BITS:].reshape(len(part), 63, AC_BITS)
-        for k in range(AC_BITS):
-            spread[:, :, k] = (ac >> (AC_BITS - 1 - k)) & 1
-        packed.append(bits.ravel())
-        if len(part) < 8192:
-            packed[-1] = np.concatenate([packed[-1], np.ones(-packed[-1].size % 8, np.uint8)])
-        packed[-1] = np.packbits(packed[-1]).tobytes()
-    out += b"".join(packed).replace(b"\xff", b"\xff\x00")
-    return bytes(out + b"\xff\xd9")
+    dc = np.diff(v[:, :, 0], axis=1, prepend=0)
+    field, bits = AC_FIELDS[0][v + 128], AC_FIELDS[1][v + 128]
+    field[:, :, 0], bits[:, :, 0] = DC_FIELDS[0][dc + 256], DC_FIELDS[1][dc + 256]
+    field, bits = field.reshape(len(v), -1), bits.reshape(len(v), -1)
+    size = bits.sum(axis=1)
+    first = np.concatenate([[0], np.cumsum(-(-size // 8))])  # bytes
+    at = (np.cumsum(bits, axis=1) - bits + first[:-1, None] * 8).ravel()
+    field, bits = field.ravel(), bits.ravel()
+    three = field << (24 - (at & 7) - bits)  # a field lies within three bytes
+    n = first[-1] + 2
+    out = sum(np.bincount((at >> 3) + k, three >> (16 - 8 * k) & 255, n) for k in range(3)).astype(np.int64)
+    out[first[1:] - 1] += (1 << (-size & 7)) - 1  # ones fill the last byte
+    raw = out.astype(np.uint8).tobytes()
+    return [raw[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def store_all(texts: list[bytes]) -> list[bytes]:
+    """The files of texts: their payloads, and in the last row of a wide image more blocks of bytes 255."""
+    sizes, shapes, padded = [], [], []
+    for text in texts:
+        n = max(UNIT, -(-len(text) // UNIT) * UNIT)
+        blocks = n // 64
+        wide = 3 if blocks <= 3 * 8191 else 9 * -(-blocks // (9 * 8191))
+        whole = -(-blocks // wide) * wide
+        sizes.append(n)
+        shapes.append((whole, wide))
+        padded.append(text.ljust(whole * 64, b"\xff"))
+    pieces = encode_pieces(np.frombuffer(b"".join(padded), np.uint8)) if texts else []
+    out, i = [], 0
+    for n, (blocks, wide) in zip(sizes, shapes, strict=True):
+        own = pieces[i : i + blocks // RESTART]
+        i += len(own)
+        marked = [p for k, piece in enumerate(own) for p in (piece, MARKERS[k & 7])]
+        out.append(header(blocks, wide, n) + b"".join(marked[:-1]) + b"\xff\xd9")
+    return out
+
+
+MARKERS = [bytes([0xFF, 0xD0 + k]) for k in range(8)]
 
 
 def parse(data: bytes) -> dict:
@@ -169,46 +190,66 @@ def parse(data: bytes) -> dict:
             i = end
 
 
-def even_table(counts: bytes, symbols: bytes) -> np.ndarray | None:
-    """If code and value bits add up to one length for every symbol (no runs of zeros): field -> value, else None."""
-    all_codes = codes(counts, symbols)
-    whole = {n + s for n, _, s in all_codes}
-    if len(whole) != 1 or any(s > 15 for _, _, s in all_codes):
-        return None
-    bits = whole.pop()
-    out = np.full(1 << bits, np.iinfo(np.int32).min, np.int32)
-    for _, code, s in all_codes:
-        x = np.arange(1 << s)
-        out[(code << s) + x] = np.where(x >> max(s - 1, 0), x, x - (1 << s) + 1) if s else 0
+@functools.lru_cache(maxsize=64)
+def prefixes(counts: bytes, symbols: bytes) -> np.ndarray:
+    """Length and symbol (length << 8 | symbol) of the code that each 16 bits begin with; -1 if there is none."""
+    out = np.full(1 << 16, -1, np.int32)
+    for n, code, symbol in codes(counts, symbols):
+        out[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | symbol
     return out
 
 
-def _even_scan(data: bytes, dc: np.ndarray, ac: np.ndarray, blocks: int) -> np.ndarray:
-    a, b = len(dc).bit_length() - 1, len(ac).bit_length() - 1
-    size = a + 63 * b
-    raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8)
-    if len(raw) * 8 < blocks * size:
+def side_by_side(pieces: list[bytes], blocks: np.ndarray, tables: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Coefficients of pieces of scans of one component, blocks one after the other; tables: prefixes() by table and kind
+    (DC, AC); of: each piece's table."""
+    raw = b"".join(pieces) + bytes(16)
+    data = np.frombuffer(raw, np.uint8)
+    eights = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    size = np.array([len(p) for p in pieces], np.int64)
+    at = (np.cumsum(size) - size) * 8
+    end = at + size * 8
+    first = np.cumsum(blocks) - blocks
+    out = np.zeros((int(blocks.sum()), 64), np.int32)
+    live, k, row, last = np.flatnonzero(blocks > 0), np.zeros(len(pieces), np.int64), first.copy(), np.zeros(len(pieces), np.int64)
+    stop, flat = first + blocks, tables.reshape(-1)
+    base = of.astype(np.int64) << 17
+    while len(live):
+        here, kk = at[live], k[live]
+        if (here > end[live]).any():
+            raise BadJpeg("a scan is too short")
+        bits = eights[here >> 3].astype(np.uint64) << (here & 7).astype(np.uint64)
+        found = flat[base[live] + ((kk > 0).astype(np.int64) << 16) + (bits >> np.uint64(48)).astype(np.int64)]
+        if (found < 0).any():
+            raise BadJpeg("a code is not in its table")
+        n, symbol = found >> 8, found & 255
+        s = np.where(kk > 0, symbol & 15, symbol)
+        value = ((bits << n.astype(np.uint64)) >> np.uint64(1) >> (63 - s).astype(np.uint64)).astype(np.int64)
+        value = np.where((s > 0) & (value >> np.maximum(s - 1, 0) == 0), value - (1 << s) + 1, value)
+        at[live] = here + n + s
+        dc = kk == 0
+        last[live[dc]] += value[dc]
+        value[dc] = last[live[dc]]
+        run = np.where(dc, 0, symbol >> 4)
+        place = kk + run
+        put = dc | (s > 0)
+        if (place[put] > 63).any():
+            raise BadJpeg("a run leaves its block")
+        out[row[live[put]], place[put]] = value[put]
+        kk = np.where(put, place + 1, np.where(run == 15, kk + 16, 64))
+        done = kk >= 64
+        row[live[done]] += 1
+        k[live] = np.where(done, 0, kk)
+        live = live[row[live] < stop[live]] if done.any() else live
+    if (at > end).any():
         raise BadJpeg("a scan is too short")
-    out = np.empty((blocks, 64), np.int32)
-    for i in range(0, blocks, 8192):
-        k = min(8192, blocks - i)
-        bits = np.unpackbits(raw[i * size // 8 : -(-(i + k) * size // 8)])[: k * size].reshape(k, size)
-        field = np.zeros(k, np.int64)
-        for j in range(a):
-            field = field << 1 | bits[:, j]
-        out[i : i + k, 0] = dc[field]
-        rest = bits[:, a:].reshape(k, 63, b)
-        field = np.zeros((k, 63), np.uint16)
-        for j in range(b):
-            field <<= 1
-            field |= rest[:, :, j]
-        out[i : i + k, 1:] = ac[field]
-    if (out == np.iinfo(np.int32).min).any():
-        raise BadJpeg("a code is not in its table")
-    out[:, 0] = np.cumsum(out[:, 0])
     return out
 
 
+def cut(data: bytes) -> list[bytes]:
+    """A scan's data between its restart markers, without stuffing."""
+    return [p.replace(b"\xff\x00", b"\xff") for p in re.split(rb"\xff[\xd0-\xd7]", data)]
+
+
 class _Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.bits, self.n = data, 0, 0, 0
@@ -236,63 +277,83 @@ class _Bits:
         return v if not s or v >> (s - 1) else v - (1 << s) + 1
 
 
-def coefficients(image: dict) -> dict[int, np.ndarray]:
-    """Component id -> quantised coefficients, zigzag order, a row a block in scan order (with sampling factors: in the
-    order of its MCUs)."""
+def one_component(image: dict, names: list) -> int:
+    """Blocks of a scan of one component."""
+    most = [max(x[i] for _, *x in image["parts"]) for i in (0, 1)]
+    h, v = next((h, v) for c, h, v, _ in image["parts"] if c == names[0][0])
+    return -(-image["width"] * h // (8 * most[0])) * -(-image["height"] * v // (8 * most[1]))
+
+
+def _huffman(image: dict, names: list) -> dict:
+    if any(d not in image["huffman"] or 16 + a not in image["huffman"] for _, d, a in names):
+        raise BadJpeg("a Huffman table is missing")
+    return {c: (image["huffman"][d], image["huffman"][16 + a]) for c, d, a in names}
+
+
+def interleaved(image: dict, names: list, data: bytes) -> dict[int, np.ndarray]:
+    """Coefficients of a scan of several components, symbol by symbol."""
     parts = {c: (h, v) for c, h, v, _ in image["parts"]}
     most = [max(x[i] for x in parts.values()) for i in (0, 1)]
-    out: dict[int, np.ndarray] = {}
-    for names, data in image["scans"]:
-        huff = {}
-        for c, d, a in names:
-            if d not in image["huffman"] or 16 + a not in image["huffman"]:
-                raise BadJpeg("a Huffman table is missing")
-            huff[c] = image["huffman"][d], image["huffman"][16 + a]
-        if len(names) == 1:
-            h, v = parts[names[0][0]]
-            units, each = (-(-image["width"] * h // (8 * most[0]))) * (-(-image["height"] * v // (8 * most[1]))), {names[0][0]: 1}
-        else:
-            units, each = (-(-image["width"] // (8 * most[0]))) * (-(-image["height"] // (8 * most[1]))), {c: parts[c][0] * parts[c][1] for c, _, _ in names}
-        if len(names) == 1 and not image["restart"]:
-            dc, ac = (even_table(*t) for t in huff[names[0][0]])
-            if dc is not None and ac is not None:
-                out[names[0][0]] = _even_scan(data, dc, ac, units)
+    huff = _huffman(image, names)
+    if len(names) == 1:
+        units, each = one_component(image, names), {names[0][0]: 1}
+    else:
+        units, each = (-(-image["width"] // (8 * most[0]))) * (-(-image["height"] // (8 * most[1]))), {c: parts[c][0] * parts[c][1] for c, _, _ in names}
+    tables = {c: [{(n, code): s for n, code, s in codes(*t)} for t in pair] for c, pair in huff.items()}
+    found: dict[int, list] = {c: [] for c in each}
+    done = 0
+    for piece in cut(data):
+        bits, last_dc = _Bits(piece), dict.fromkeys(each, 0)
+        for _ in range(min(image["restart"] or units, units - done)):
+            done += 1
+            for c, times in each.items():
+                for _ in range(times):
+                    row = np.zeros(64, np.int32)
+                    last_dc[c] += bits.value(bits.symbol(tables[c][0]))
+                    row[0] = last_dc[c]
+                    k = 1
+                    while k < 64:
+                        rs = bits.symbol(tables[c][1])
+                        if rs & 15 == 0:
+                            if rs != 0xF0:
+                                break
+                            k += 16
+                            continue
+                        k += rs >> 4
+                        if k > 63:
+                            raise BadJpeg("a run leaves its block")
+                        row[k] = bits.value(rs & 15)
+                        k += 1
+                    found[c].append(row)
+    return {c: np.array(rows, np.int32).reshape(-1, 64) for c, rows in found.items()}
+
+
+def coefficients(images: list[dict]) -> list[dict[int, np.ndarray]]:
+    """For each image: component id -> quantised coefficients, zigzag order, a row a block in scan order (with sampling
+    factors: in the order of its MCUs). All scans of one component are decoded together."""
+    out: list[dict[int, np.ndarray]] = [{} for _ in images]
+    tables: dict[tuple, int] = {}
+    pieces, blocks, of, scans = [], [], [], []
+    for i, image in enumerate(images):
+        for names, data in image["scans"]:
+            if len(names) > 1:
+                out[i] |= interleaved(image, names, data)
                 continue
-        tables = {c: [{(n, code): s for n, code, s in codes(*t)} for t in pair] for c, pair in huff.items()}
-        found: dict[int, list] = {c: [] for c in each}
-        pieces, done = [data], 0
-        if image["restart"]:
-            pieces, i, last = [], 0, 0
-            while (i := data.find(b"\xff", i)) >= 0:
-                if data[i + 1] != 0:
-                    pieces.append(data[last:i])
-                    last = i + 2
-                i += 2
-            pieces.append(data[last:])
-        for piece in pieces:
-            bits, last_dc = _Bits(piece.replace(b"\xff\x00", b"\xff")), dict.fromkeys(each, 0)
-            for _ in range(min(image["restart"] or units, units - done)):
-                done += 1
-                for c, times in each.items():
-                    for _ in range(times):
-                        row = np.zeros(64, np.int32)
-                        last_dc[c] += bits.value(bits.symbol(tables[c][0]))
-                        row[0] = last_dc[c]
-                        k = 1
-                        while k < 64:
-                            rs = bits.symbol(tables[c][1])
-                            if rs & 15 == 0:
-                                if rs != 0xF0:
-                                    break
-                                k += 16
-                                continue
-                            k += rs >> 4
-                            if k > 63:
-                                raise BadJpeg("a run leaves its block")
-                            row[k] = bits.value(rs & 15)
-                            k += 1
-                        found[c].append(row)
-        out |= {c: np.array(rows, np.int32).reshape(-1, 64) for c, rows in found.items()}
+            huff = _huffman(image, names)[names[0][0]]
+            units, own = one_component(image, names), cut(data)
+            each = image["restart"] or units
+            if len(own) != max(1, -(-units // max(each, 1))):
+                raise BadJpeg("restart markers are missing")
+            scans.append((i, names[0][0], units))
+            pieces += own
+            blocks += [min(each, units - k * each) for k in range(len(own))]
+            of += [tables.setdefault(huff, len(tables))] * len(own)
+    if pieces:
+        rows = side_by_side(pieces, np.array(blocks), np.stack([np.stack([prefixes(*t) for t in pair]) for pair in tables]), np.array(of))
+        begin = 0
+        for i, c, units in scans:
+            out[i][c] = rows[begin : begin + units]
+            begin += units
     return out
 
 
@@ -305,21 +366,24 @@ def thumbnail(image: dict, coefs: dict[int, np.ndarray]) -> np.ndarray:
     return np.clip(dc[: len(dc) // wide * wide], 0, 255).astype(np.uint8).reshape(-1, wide)
 
 
-def read(data: bytes) -> tuple[bytes, np.ndarray, int, int]:
-    """Payload, thumbnail, width, height of a stored file."""
-    image = parse(data)
-    coefs = coefficients(image)
-    v = coefs[image["parts"][0][0]]
-    if ((v == 0) | (np.abs(v) > 128)).any() or not image["comment"].startswith(b"payload "):
-        raise BadJpeg("this file holds no payload")
-    payload = (v + np.where(v < 0, 128, 127)).astype(np.uint8).tobytes()[: int(image["comment"][8:])]
-    return payload, thumbnail(image, coefs), image["width"], image["height"]
+def read_all(files: list[bytes]) -> list[tuple[bytes, np.ndarray, int, int]]:
+    """Payload, thumbnail, width, height of stored files."""
+    images, out = [parse(f) for f in files], []
+    for image, coefs in zip(images, coefficients(images), strict=True):
+        v = coefs[image["parts"][0][0]]
+        if ((v == 0) | (np.abs(v) > 128)).any() or not image["comment"].startswith(b"payload "):
+            raise BadJpeg("this file holds no payload")
+        payload = (v + np.where(v < 0, 128, 127)).astype(np.uint8).tobytes()[: int(image["comment"][8:])]
+        out.append((payload, thumbnail(image, coefs), image["width"], image["height"]))
+    return out
 
 
 def store(text: bytes) -> bytes:
-    """The file of a text."""
-    n = max(UNIT, -(-len(text) // UNIT) * UNIT)
-    return encode(np.frombuffer(text.ljust(n, b"\xff"), np.uint8))
+    return store_all([text])[0]
+
+
+def read(data: bytes) -> tuple[bytes, np.ndarray, int, int]:
+    return read_all([data])[0]
 
 
 COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -331,10 +395,9 @@ def media(docs: DataFrame, with_file: bool = True) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches):
             raw, out = data.tobytes(), []
-            for i in range(len(off) - 1):
-                text = raw[off[i] : off[i + 1]]
-                file = store(text)
-                payload, thumb, wide, high = read(file)
+            texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            files = store_all(texts)
+            for text, file, (payload, thumb, wide, high) in zip(texts, files, read_all(files), strict=True):
                 feature = f"{wide}x{high}:{hashlib.sha1(thumb.tobytes()).hexdigest()}"
                 out.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature, *([file] if with_file else [])))
             cols = list(zip(*out, strict=True))
