@@ -16,62 +16,95 @@ from countloom.operators import aggregate, factorize, normalize
 from countloom.sources.matrix import Experiment
 
 
-def _gain(column: str, prior: float) -> F.Column:
-    return F.sum(lgamma(F.col(column) + prior) - math.lgamma(prior))
+def _checked(label: str, levels: int, missing: int | None, lo: int | None, hi: int | None) -> None:
+    if missing:
+        raise ValueError(f"{label} is missing for {missing} items")
+    if lo is not None and (lo < 1 or hi > levels):
+        raise ValueError(f"{label} must lie within 1..{levels}; it runs from {lo} to {hi}")
 
 
-def _dirichlet(sums: DataFrame, groups: int, width: int, prior: float, by: str) -> float:
-    """Log marginal of `groups` multinomials over `width` categories."""
-    gain = sums.agg(_gain("n", prior)).first()[0] or 0.0
-    ends = sums.groupBy(by).agg(F.sum("n").alias("n")).agg(F.sum(lgamma(F.col("n") + width * prior)), F.count("*")).first()
-    missing = (groups - ends[1]) * math.lgamma(width * prior)  # groups without counts
-    return groups * math.lgamma(width * prior) + gain - (ends[0] or 0.0) - missing
+def _wide(counts: DataFrame, labels: DataFrame, item: str, label: str, levels: int, other: str) -> DataFrame:
+    """(other, by): an array of the sums by label of each row of the other axis."""
+    each = [F.coalesce(F.sum(F.when(F.col(label) == i, F.col("n"))), F.lit(0)) for i in range(1, levels + 1)]
+    return counts.join(labels.select(item, label), item).groupBy(other).agg(F.array(*each).alias("by"))
+
+
+def _gains(by: str, levels: int, prior: float) -> F.Column:
+    """The sum of lgamma(n + prior) - lgamma(prior) over an array's numbers."""
+    return sum((lgamma(F.col(by)[i] + prior) for i in range(1, levels)), lgamma(F.col(by)[0] + prior)) - levels * math.lgamma(prior)
+
+
+def _ends(totals: list[float], width: int, prior: float) -> float:
+    return len(totals) * math.lgamma(width * prior) - sum(math.lgamma(n + width * prior) for n in totals)
 
 
 def theta(x: Experiment) -> float:
-    p, table = x.params, aggregate.cluster_by_sample(x.cells, x.params["K"]).withColumnRenamed("cells", "n")
-    samples = x.cells.select("sample").distinct().count()
-    gain = table.agg(F.sum(lgamma(F.col("n") + p["alpha"]))).first()[0]
-    ends = table.groupBy("sample").agg(F.sum(F.col("n") + p["alpha"]).alias("n")).agg(F.sum(lgamma(F.col("n")))).first()[0]
-    return samples * math.lgamma(p["K"] * p["alpha"]) - samples * p["K"] * math.lgamma(p["alpha"]) + gain - ends
+    """Clusters by sample, in one pass over the cells."""
+    alpha, k = x.params["alpha"], x.params["K"]
+    by = x.cells.groupBy("sample", "z").agg(F.count("*").alias("n")).groupBy("sample")
+    by = by.agg(F.sum(lgamma(F.col("n") + alpha)).alias("gain"), F.count("*").alias("have"), F.sum("n").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi"), F.sum(F.when(F.col("z").isNull(), F.col("n"))).alias("missing"))
+    samples, gain, have, ends, missing, lo, hi = by.agg(F.count("*"), F.sum("gain"), F.sum("have"), F.sum(lgamma(F.col("n") + k * alpha)), F.sum("missing"), F.min("lo"), F.max("hi")).first()
+    _checked("z", k, missing, lo, hi)
+    if not samples:
+        return 0.0
+    return samples * (math.lgamma(k * alpha) - k * math.lgamma(alpha)) + gain + (samples * k - have) * math.lgamma(alpha) - ends
 
 
 def phi_c(x: Experiment) -> float:
-    return _dirichlet(aggregate.by_cluster(x.counts, x.cells), x.params["K"], x.features.count(), x.params["beta"], "z")
+    """Features by cluster, in one pass over the counts."""
+    k, beta = x.params["K"], x.params["beta"]
+    per = x.features.select("feature_id").join(_wide(x.counts, x.cells, "cell_id", "z", k, "feature_id"), "feature_id", "left")
+    row = per.agg(F.count("*"), F.sum(_gains("by", k, beta)), *[F.sum(F.col("by")[i]) for i in range(k)]).first()
+    return (row[1] or 0.0) + _ends([n or 0 for n in row[2:]], row[0], beta)
 
 
 def phi_g(x: Experiment) -> float:
-    return _dirichlet(aggregate.by_module(x.counts, x.features), x.cells.count(), x.params["L"], x.params["beta"], "cell_id")
+    """Modules by cell, in one pass over the counts."""
+    modules, beta = x.params["L"], x.params["beta"]
+    per = x.cells.select("cell_id").join(_wide(x.counts, x.features, "feature_id", "y", modules, "cell_id"), "cell_id", "left")
+    n = F.coalesce(sum((F.col("by")[i] for i in range(1, modules)), F.col("by")[0]), F.lit(0))
+    cells, gain, ends = per.agg(F.count("*"), F.sum(_gains("by", modules, beta)), F.sum(lgamma(n + modules * beta))).first()
+    return cells * math.lgamma(modules * beta) + (gain or 0.0) - (ends or 0.0)
 
 
-def phi_cg(x: Experiment) -> float:
-    return _dirichlet(aggregate.by_both(x.counts, x.cells, x.features), x.params["K"], x.params["L"], x.params["beta"], "z")
+def _modules(x: Experiment, per: DataFrame, sums: int) -> tuple[float, list]:
+    """psi and eta, and the sums by cluster of each module. per: (feature_id, by); module sizes count one pseudo-feature
+    each. A row a module is all that comes to the driver."""
+    delta, gamma, modules = x.params["delta"], x.params["gamma"], x.params["L"]
+    n = sum((F.col("by")[i] for i in range(1, sums)), F.col("by")[0])
+    joined = x.features.select("feature_id", "y").join(per, "feature_id", "left").withColumn("total", n)
+    rows = joined.groupBy("y").agg(F.count("*").alias("genes"), F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum(lgamma(F.col("total") + delta)), F.lit(0.0)).alias("gain"), *[F.coalesce(F.sum(F.col("by")[i]), F.lit(0)).alias(f"s{i}") for i in range(sums)])
+    out_of = F.col("y").isNull() | (F.col("y") < 1) | (F.col("y") > modules)
+    rows = rows.withColumn("label", F.when(~out_of, F.col("y"))).groupBy("label").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "y"], F.min("y").alias("lo"), F.max("y").alias("hi"), F.sum(F.when(F.col("y").isNull(), F.col("genes"))).alias("missing")).collect()
+    for r in rows:
+        _checked("y", modules, r.missing, r.lo, r.hi)
+    by = {r.label: r for r in rows}
+    size = [1 + (by[y].genes if y in by else 0) for y in range(1, modules + 1)]
+    total = [by[y].n if y in by else 0 for y in range(1, modules + 1)]
+    psi = sum(math.lgamma(a * delta) - a * math.lgamma(delta) - math.lgamma(b + a * delta) for a, b in zip(size, total, strict=True)) + sum(r.gain for r in rows)
+    eta = math.lgamma(modules * gamma) - modules * math.lgamma(gamma) + sum(math.lgamma(a + gamma) for a in size) - math.lgamma(sum(a + gamma for a in size))
+    return psi + eta, [[by[y][f"s{i}"] if y in by else 0 for i in range(sums)] for y in range(1, modules + 1)]
 
 
-def psi(x: Experiment) -> float:
-    """Module sizes count one pseudo-feature each."""
-    delta, modules = x.params["delta"], x.params["L"]
-    per_feature = x.features.select("feature_id", "y").join(aggregate.totals(x.counts, "feature_id"), "feature_id")
-    gain = per_feature.agg(F.sum(lgamma(F.col("n") + delta))).first()[0] or 0.0
-    sizes = aggregate.module_sizes(x.features, modules).join(per_feature.groupBy("y").agg(F.sum("n").alias("n")), "y", "left").na.fill(0, ["n"])
-    row = sizes.agg(F.sum(lgamma(F.col("genes") * delta)), F.sum("genes"), F.sum(lgamma(F.col("n") + F.col("genes") * delta))).first()
-    return row[0] + gain - row[1] * math.lgamma(delta) - row[2]
+def psi_and_eta(x: Experiment) -> float:
+    totals = aggregate.totals(x.counts, "feature_id").select("feature_id", F.array("n").alias("by"))
+    return _modules(x, totals, 1)[0]
 
 
-def eta(x: Experiment) -> float:
-    gamma, modules = x.params["gamma"], x.params["L"]
-    row = aggregate.module_sizes(x.features, modules).agg(F.sum(lgamma(F.col("genes") + gamma)), F.sum(F.col("genes") + gamma)).first()
-    return math.lgamma(modules * gamma) + row[0] - modules * math.lgamma(gamma) - math.lgamma(row[1])
+def modules_and_clusters(x: Experiment) -> float:
+    """Modules by cluster, psi and eta, in one pass over the counts."""
+    k, modules, beta = x.params["K"], x.params["L"], x.params["beta"]
+    rest, sums = _modules(x, _wide(x.counts, x.cells, "cell_id", "z", k, "feature_id"), k)
+    gain = sum(math.lgamma(n + beta) - math.lgamma(beta) for row in sums for n in row)
+    return rest + gain + _ends([sum(row[i] for row in sums) for i in range(k)], modules, beta)
 
 
-TERMS = {"c": (theta, phi_c), "g": (phi_g, psi, eta), "cg": (theta, phi_cg, psi, eta)}
+TERMS = {"c": (theta, phi_c), "g": (phi_g, psi_and_eta), "cg": (theta, modules_and_clusters)}
 
 
 def log_likelihood(x: Experiment, model: str) -> float:
-    if "c" in model:
-        aggregate.check_labels(x.cells, "z", x.params["K"])
-    if "g" in model:
-        aggregate.check_labels(x.features, "y", x.params["L"])
+    """Two passes at most: over the cells, and over the counts once for each axis of the model. Missing labels and labels out
+    of range are errors."""
     return sum(term(x) for term in TERMS[model])
 
 

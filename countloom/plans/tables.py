@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ class Tables:
     def __init__(self, spark: SparkSession):
         at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not at:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (the master is {master})")
             Tables.own = at = Tables.own or "file://" + tempfile.mkdtemp(prefix="countloom-")
         self.spark, self.base = reachable(spark), f"{at.rstrip('/')}/tables-{uuid.uuid4().hex}"
 

@@ -87,3 +87,15 @@ def test_late_events_are_dropped(spark, tmp_path):
     q = streams.to_table(streams.windowed_counts(stream, "ts", "1 hour", "30 minutes"), "win", f"file://{tmp_path}/c2", "append")
     q.awaitTermination(120)
     assert [r.n for r in spark.table("win").orderBy("start").collect()][:1] == [2]
+
+
+def test_scratch_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from countloom.plans.tables import Tables
+
+    none = SimpleNamespace(get=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master=master, getConf=lambda: none, environment={}))
+    with pytest.raises(ValueError, match="share"):
+        Tables(session("spark://host:7077"))
+    assert Tables(session("local[4]")).base.startswith("file://")
