@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,9 +23,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and the master
+    is local, as executors elsewhere would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (the master is {master})")
         at = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="countloom-")
         shared_dir.own = at
     return at.rstrip("/")
