@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countloom.llm.common import Scratch, text_keys
-from countloom.llm.words import SPACE, Spans, U, Words, byte_values, mix, prefix_sums, slices, sliding_first_min, span_hash
+from countloom.llm.words import SPACE, U, Words, byte_values, eights_of, mix, piece_hash, prefix_sums, slices, sliding_first_min, span_hash
 
 PIECE = 1 << 21
 KEYS = ["t1", "t2"]
@@ -35,7 +35,13 @@ def units(data: np.ndarray, off: np.ndarray, by: str) -> tuple[np.ndarray, np.nd
     return w.hashes(), w.first, w
 
 
-def segments(x: np.ndarray, first: np.ndarray, window: int, k: int) -> dict[str, np.ndarray]:
+def span_of(data: np.ndarray, x: np.ndarray, by: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Hashes of spans of units."""
+    pieces = eights_of(data) if by == "bytes" else x
+    return lambda start, stop: piece_hash(pieces, start, stop, 8 if by == "bytes" else 1)
+
+
+def segments(x: np.ndarray, first: np.ndarray, window: int, k: int, own_hash: Callable) -> dict[str, np.ndarray]:
     """The segments of a slice: text number, anchor's hash, own hash, first start, number of starts."""
     out: dict[str, list] = {c: [] for c in ("text", "ah", "sh", "p", "n")}
     for base in range(0, max(len(x) - window + 1, 0), PIECE):
@@ -52,7 +58,7 @@ def segments(x: np.ndarray, first: np.ndarray, window: int, k: int) -> dict[str,
         stop_at = fits.copy()
         stop_at[:-1] &= ~(fits[1:] & (anchor[1:] == anchor[:-1]))
         stop = np.flatnonzero(stop_at) + 1
-        own = mix(Spans(part)(start, stop + window - 1) + (anchor[start] - start).astype(U) * U(0x9E3779B97F4A7C15))
+        own = mix(own_hash(start + base, stop + window - 1 + base) + (anchor[start] - start).astype(U) * U(0x9E3779B97F4A7C15))
         for c, v in zip(out, (text[start], grams[anchor[start]], own, start + base - first[text[start]], stop - start), strict=True):
             out[c].append(v)
     kinds = (np.int64, U, U, np.int64, np.int64)
@@ -65,7 +71,7 @@ def all_segments(docs: DataFrame, by: str, window: int, k: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches):
             x, first, _ = units(data, off, by)
-            s = segments(x, first, window, k)
+            s = segments(x, first, window, k, span_of(data, x, by))
             of = part.select(["doc_id", *KEYS]).take(pa.array(s["text"]))
             yield pa.RecordBatch.from_arrays([*of.columns, pa.array(s["ah"].view(np.int64)), pa.array(s["sh"].view(np.int64)), pa.array(s["p"]), pa.array(s["n"].astype(np.int32))], ["doc_id", *KEYS, "ah", "sh", "p", "n"])
 
@@ -109,9 +115,10 @@ def runs(mask: np.ndarray, n: np.ndarray, own: list[bytes], by: str, window: int
     after[first[1:] - 1] = False
     start, stop = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
     of = np.searchsorted(first, start, "right") - 1
-    x, begin, _ = units(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), by)
+    data = np.frombuffer(b"".join(own), np.uint8)
+    x, begin, _ = units(data, np.cumsum([0, *map(len, own)]), by)
     at = begin[of] + start - first[of]
-    path = Spans(x)(at, at + stop - start + window - 1) if len(of) else np.zeros(0, U)
+    path = span_of(data, x, by)(at, at + stop - start + window - 1)
     values = pa.StructArray.from_arrays([pa.array(start - first[of]), pa.array(stop - start), pa.array(path.view(np.int64))], ["start", "length", "path"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)), pa.int32()), values)
 

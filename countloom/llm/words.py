@@ -100,19 +100,31 @@ class Words:
         self.solid = solid
 
     def hashes(self) -> np.ndarray:
-        """64 bits of each word: its 8-byte pieces are mixed one by one, each with its place, and added. A polynomial of
-        the bytes modulo 2^64 would not do: there are words on which it is equal whatever the base."""
-        size = self.end - self.start
-        if not len(size):
-            return np.zeros(0, U)
-        pieces = -(-size // 8)
-        place = spread(pieces)
-        at = np.repeat(self.start, pieces) + 8 * place
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
-        v = eights[at] & _KEEP[np.minimum(np.repeat(self.end, pieces) - at, 8)]
-        v = mix(v ^ (place.astype(U) + U(1)) * _P)
-        return mix(np.add.reduceat(v, np.cumsum(pieces) - pieces) + size.astype(U) * _P)
+        """64 bits of each word."""
+        return piece_hash(eights_of(self.data), self.start, self.end, 8)
+
+
+def eights_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+
+def piece_hash(x: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int = 1) -> np.ndarray:
+    """64 bits of each span start:stop, which must not be empty, the same wherever it stands: its numbers are mixed one by one,
+    each with its place, and added. step 8 takes x as eights_of() bytes. A polynomial modulo 2^64 would not do: there are
+    sequences on which it is equal whatever the base."""
+    size = stop - start
+    if not len(size):
+        return np.zeros(0, U)
+    pieces = -(-size // step)
+    place = spread(pieces)
+    at = np.repeat(start, pieces) + step * place
+    v = x[at]
+    if step > 1:
+        v = v & _KEEP[np.minimum(np.repeat(stop, pieces) - at, 8)]
+    v = mix(v ^ (place.astype(U) + U(1)) * _P)
+    return mix(np.add.reduceat(v, np.cumsum(pieces) - pieces) + size.astype(U) * _P)
 
 
 def prefix_sums(x: np.ndarray) -> np.ndarray:
@@ -127,44 +139,6 @@ def span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((sums[stop] - sums[start]) * powers(len(sums))[1][start] + (stop - start).astype(U))
 
 
-P61 = U((1 << 61) - 1)
-_pw61, _ipw61 = np.ones(1, U), np.ones(1, U)
-_BASE61 = 0x0123456789ABCDEF % int(P61)
-
-
-def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo 2^61 - 1, for numbers below that."""
-    low = U(0xFFFFFFFF)
-    ah, al, bh, bl = a >> U(32), a & low, b >> U(32), b & low
-    cross, ll = ah * bl + al * bh, al * bl
-    out = (ah * bh << U(3)) + (cross >> U(29)) + ((cross & U((1 << 29) - 1)) << U(32)) + (ll & P61) + (ll >> U(61))
-    out = (out & P61) + (out >> U(61))
-    return np.where(out >= P61, out - P61, out)
-
-
-class Spans:
-    """Hashes of spans as polynomials modulo the prime 2^61 - 1: two different spans of n numbers agree for at most n of the
-    2^61 possible bases, whatever the spans are."""
-
-    def __init__(self, x: np.ndarray):
-        global _pw61, _ipw61
-        while len(_pw61) < len(x) + 1:
-            k = len(_pw61)
-            step, back = pow(_BASE61, k, int(P61)), pow(_BASE61, -k, int(P61))
-            _pw61 = np.concatenate([_pw61, mulmod(_pw61, np.full(k, step, U))])
-            _ipw61 = np.concatenate([_ipw61, mulmod(_ipw61, np.full(k, back, U))])
-        x = (x & P61) + (x >> U(61))
-        v = mulmod(np.where(x >= P61, x - P61, x), _pw61[: len(x)])
-        self.low, self.high = np.zeros(len(x) + 1, U), np.zeros(len(x) + 1, U)
-        np.cumsum(v & U((1 << 31) - 1), out=self.low[1:])
-        np.cumsum(v >> U(31), out=self.high[1:])
-
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        low, high = (self.low[stop] - self.low[start]) % P61, (self.high[stop] - self.high[start]) % P61
-        value = (((high << U(31)) & P61) | (high >> U(30))) + low
-        return mix(mulmod(value % P61, _ipw61[start]) ^ mix((stop - start).astype(U)))
-
-
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
