@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from countloom.sources.matrix import Experiment
+from countloom.sources.matrix import Experiment, same_counts
 
 
 def frequent_features(counts: DataFrame, features: DataFrame, cells: DataFrame, min_count: float = 3, min_cell: int = 3) -> DataFrame:
@@ -41,14 +42,19 @@ def validate(counts: DataFrame, features: DataFrame, cells: DataFrame) -> None:
 
 def feature_index(wanted: list[str], features: DataFrame, by: str = "name", exact: bool = True, drop_missing: bool = False) -> DataFrame:
     """(query, feature_id): the first feature that is equal to each query, or matches it as a regular expression; null
-    where none does. No match at all is an error."""
+    where none does. No match at all is an error; queries with several matches or none are warned of."""
     if by not in features.columns:
         raise ValueError(f"features have no column {by!r}")
     asked = features.sparkSession.createDataFrame([(i, w) for i, w in enumerate(wanted)], "position int, query string")
     on = F.col(by) == F.col("query") if exact else F.regexp_like(F.col(by), F.col("query"))
-    found = F.broadcast(asked).join(features.select("feature_id", by), on).groupBy("position").agg(F.min("feature_id").alias("feature_id"))
-    if found.isEmpty():
+    found = F.broadcast(asked).join(features.select("feature_id", by), on).groupBy("position").agg(F.min("feature_id").alias("feature_id"), F.count("*").alias("matches"))
+    matches = dict(found.select("position", "matches").collect())  # a row a query
+    if not matches:
         raise ValueError("none of the features was found")
+    for what, some in (("match several features; the first is taken", [w for i, w in enumerate(wanted) if matches.get(i, 0) > 1]), ("match no feature", [w for i, w in enumerate(wanted) if i not in matches])):
+        if some:
+            warnings.warn(f"{', '.join(some)} {what}", stacklevel=2)
+    found = found.drop("matches")
     return asked.join(found, "position", "inner" if drop_missing else "left").select("query", "feature_id")
 
 
@@ -87,8 +93,11 @@ def subset_runs(runs: DataFrame, params: dict[str, list]) -> DataFrame:
     return runs
 
 
-def append_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Runs of two searches, numbered on; perplexities do not carry over."""
+def append_runs(a: DataFrame, b: DataFrame, counts_a: DataFrame | None = None, counts_b: DataFrame | None = None) -> DataFrame:
+    """Runs of two searches, numbered on; perplexities do not carry over. If the matrices they were made from are given and
+    differ, a warning says so."""
+    if counts_a is not None and counts_b is not None and not same_counts(counts_a, counts_b, error=False):
+        warnings.warn("the runs were made from different counts", stacklevel=2)
     drop = [c for c in a.columns if "perplexity" in c]
     last = a.agg(F.coalesce(F.max("index"), F.lit(0)).alias("last")).first()[0]
     return a.drop(*drop).unionByName(b.drop(*drop).withColumn("index", F.col("index") + last))

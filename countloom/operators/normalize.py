@@ -71,9 +71,10 @@ def trimmed(values: DataFrame, trim: tuple[float, float] = (-2, 2)) -> DataFrame
 
 def min_max(values: DataFrame, by: str) -> DataFrame:
     """value mapped to 0..1 within each group."""
-    w = Window.partitionBy(by)
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return values.withColumn("value", F.when(high > low, (F.col("value") - low) / (high - low)).otherwise(F.lit(0.0)))
+    ends = values.groupBy(F.col(by).alias("__by")).agg(F.min("value").alias("__low"), F.max("value").alias("__high"))  # a row a group
+    low, high = F.col("__low"), F.col("__high")
+    out = values.join(ends, F.col(by).eqNullSafe(F.col("__by")))
+    return out.withColumn("value", F.when(high > low, (F.col("value") - low) / (high - low)).otherwise(F.lit(0.0))).drop("__by", "__low", "__high")
 
 
 def softmax(scores: DataFrame, by: str, score: str = "score") -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql.window import Window
 def top_rank(values: DataFrame, n: int = 25, by: str = "cell_id", item: str = "feature_id", value: str = "value", threshold: float | None = 0, decreasing: bool = True) -> DataFrame:
     """(by, rank, item, value): of each group the first k by value, ties by item; k is n or the number of values above
     threshold, whichever is less. Increasing order takes the k smallest of all values, above the threshold or not."""
-    above = F.count_if(F.lit(True) if threshold is None else F.col(value) > threshold).over(Window.partitionBy(by))
+    if decreasing and threshold is not None:  # those above the threshold come first
+        values = values.where(F.col(value) > threshold)
     order = F.desc(value) if decreasing else F.asc(value)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order, item))
-    kept = values.withColumn("above", above).withColumn("rank", rank).where((F.col("rank") <= F.least(F.lit(n), F.col("above"))))
+    kept = values.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, item))).where(F.col("rank") <= n)
+    if not decreasing and threshold is not None:
+        above = values.groupBy(F.col(by).alias("__by")).agg(F.count_if(F.col(value) > threshold).alias("above"))  # a row a group
+        kept = kept.join(above, F.col(by).eqNullSafe(F.col("__by"))).where(F.col("rank") <= F.col("above"))
     return kept.select(by, "rank", item, value)
 
 
@@ -27,7 +30,10 @@ def module_table(features: DataFrame, totals: DataFrame, modules: int, name: str
 
 def head_and_tail(values: DataFrame, n: int, by: str = "y", item: str = "cell_id") -> DataFrame:
     """(by, place, item, value): the n items of largest and of smallest value of each group, all if there are at most 2 n;
-    from the smallest to the largest."""
+    from the smallest to the largest. A group is thinned out in buckets of its items before it is ranked as a whole."""
+    part = Window.partitionBy(by, F.pmod(F.xxhash64(item), F.lit(64)))
+    first = values.withColumn("place", F.row_number().over(part.orderBy("value", F.desc(item)))).withColumn("from_top", F.row_number().over(part.orderBy(F.desc("value"), item)))
+    values = first.where((F.col("place") <= n) | (F.col("from_top") <= n)).drop("place", "from_top")
     w = Window.partitionBy(by)
     up, down = w.orderBy("value", F.desc(item)), w.orderBy(F.desc("value"), item)
     kept = values.withColumn("place", F.row_number().over(up)).withColumn("from_top", F.row_number().over(down))

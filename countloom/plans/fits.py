@@ -22,7 +22,7 @@ from countloom.plans import kernels
 from countloom.plans.blocks import STATE, Blocks
 from countloom.plans.kernels import Priors, TooLarge
 from countloom.plans.tables import Tables
-from countloom.sources.matrix import Experiment
+from countloom.sources.matrix import Experiment, without_cells
 
 LIMIT = 1_000_000
 RUN = "index int, chain int, K int, L int, seed int, log_lik double, z array<int>, y array<int>, history array<double>"
@@ -426,6 +426,7 @@ def remove_ambient(x: Experiment, max_iter: int = 500, delta: tuple[float, float
         raise ValueError("at least two clusters are needed")
     spark = x.counts.sparkSession
     tables = Tables(spark)
+    x = replace(x, counts=tables.save(x.counts, "counts"))  # read again in every step
 
     def beta(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -456,8 +457,13 @@ def remove_ambient(x: Experiment, max_iter: int = 500, delta: tuple[float, float
     return Decontaminated(contamination.native_matrix(x, theta, profiles), cells, delta, history)
 
 
-def remove_ambient_batches(x: Experiment, batch: str, **how) -> Decontaminated:
-    """Each batch on its own; cluster labels become batch-z."""
+def remove_ambient_batches(x: Experiment, batch: str, background: DataFrame | None = None, background_batch: str | None = None, **how) -> Decontaminated:
+    """Each batch on its own; cluster labels become batch-z. A background is empty droplets (feature_id, cell_id, n and the
+    column background_batch, which must be named): those that are cells are taken out, and each batch sees its own."""
+    if background is not None and background_batch is None:
+        raise ValueError("cells have batches: name the background's batch too")
+    if background is not None:
+        background = without_cells(background, x.cells)
     names = [r[0] for r in x.cells.select(batch).distinct().orderBy(batch).collect()]
     parts = []
     for name in names:
@@ -465,7 +471,8 @@ def remove_ambient_batches(x: Experiment, batch: str, **how) -> Decontaminated:
         number = filters.relabelled(cells.withColumnRenamed("z", "label"), "label")
         k = number.agg(F.max("z")).first()[0]
         counts = x.counts.join(cells.select("cell_id"), "cell_id", "left_semi")
-        d = remove_ambient(replace(x, counts=counts, cells=number, params={**x.params, "K": k}), **how)
+        own = None if background is None else background.where(F.col(background_batch) == name)
+        d = remove_ambient(replace(x, counts=counts, cells=number, params={**x.params, "K": k}), background=own, **how)
         d.cells = d.cells.withColumn("z", F.concat_ws("-", F.lit(str(name)), F.col("label").cast("string")) if len(names) > 1 else F.col("label").cast("string"))
         parts.append(d)
     counts, cells = parts[0].counts, parts[0].cells

@@ -348,6 +348,18 @@ def halves(x, s: np.ndarray | None, labels: np.ndarray, groups: list[int], p: Pr
     return {g: both[labels == g] & 1 for g in groups}
 
 
+def subclusters(x: np.ndarray | Sparse, z: np.ndarray, p: Priors, rng: np.random.Generator, most: int = 10) -> np.ndarray:
+    """Features by parts of cell clusters: each cluster in at most `most` parts by a short fit, a small one cell by cell. Modules
+    are divided on these, not on whole clusters."""
+    out, end = np.zeros(len(z), np.int64), 0
+    for g in np.unique(z):
+        members = np.flatnonzero(z == g)
+        part = np.arange(len(members)) if len(members) <= most else np.unique(fit_cells(x[:, members], np.zeros(len(members), np.int64), most, p, rng, max_iter=5, split=False).z, return_inverse=True)[1]
+        out[members] = part + end
+        end += int(part.max()) + 1
+    return group_sums(x, out, end)
+
+
 def improve_by_split(labels: np.ndarray, levels: int, scores: np.ndarray, halve, likelihoods, least: int, most: int = 10) -> tuple[np.ndarray, float]:
     """The best of: no change; or dissolve one group into its members' second choices and give its label to one half of
     another group that is divided in two. Candidates are groups in order of what dissolving them costs. halve(labels,
@@ -463,8 +475,9 @@ def fit_both(x: np.ndarray, s: np.ndarray, k: int, modules: int, p: Priors, rng:
         if modules > 2:
             dense = group_sums(x, z_, k)
             narrow = collapsed(dense)
+            finer = narrow if at_once(x) else subclusters(x, z_, p, rng)
             judge = lambda trials: [ll_joint(group_sums(dense.T, a, modules).T, by_feature, s, z_, a, k, modules, p) for a in trials]
-            new_y, _ = improve_by_split(y_, modules, feature_conditionals(narrow, y_.copy(), modules, p), lambda a, groups: halves(narrow, None, a, groups, p, rng, "y"), judge, 3)
+            new_y, _ = improve_by_split(y_, modules, feature_conditionals(narrow, y_.copy(), modules, p), lambda a, groups: halves(finer, None, a, groups, p, rng, "y"), judge, 3)
         if k > 2:
             sums = group_sums(x.T, new_y, modules).T
             small = collapsed(sums)

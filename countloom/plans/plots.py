@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from countloom.operators import aggregate, factorize, filters, normalize, rank
 from countloom.sources.matrix import Experiment
@@ -99,6 +100,40 @@ def probability_map(x: Experiment, level: str = "cellPopulation") -> DataFrame:
     return view.select("row", "column", F.col("value").alias("probability"), F.when(sd > 0, (root - F.avg(root).over(w)) / sd).otherwise(F.lit(0.0)).alias("relative"))
 
 
+def ordered_facets(points: DataFrame, facet: str = "feature_id", value: str = "value", item: str = "cell_id", decreasing: bool = False) -> DataFrame:
+    """points with place: the order in which each facet's points are drawn, by value, ties by item."""
+    order = F.desc(value) if decreasing else F.asc(value)
+    return points.withColumn("place", F.row_number().over(Window.partitionBy(facet).orderBy(order, item)))
+
+
+def color_breaks(values: DataFrame, colors: int, center: bool = True) -> DataFrame:
+    """(place, value): the colors + 1 ends of the colours' intervals, evenly spaced over the values, or with center over
+    -m to m for the largest absolute value m."""
+    if colors < 1:
+        raise ValueError("at least one colour is needed")
+    low, high = (-F.max(F.abs("value")), F.max(F.abs("value"))) if center else (F.min("value"), F.max("value"))
+    ends = values.agg(low.cast("double").alias("low"), high.cast("double").alias("high")).where("low IS NOT NULL")
+    ends = ends.select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(colors))).alias("place"))
+    return ends.select("place", (F.col("low") + (F.col("high") - F.col("low")) * F.col("place") / colors).alias("value"))
+
+
+def row_clusters(values: DataFrame, columns: list, k: int, row: str = "feature_id", column: str = "z", seed: int = 12345) -> tuple[DataFrame, DataFrame]:
+    """Rows of a heatmap by k-means over listed columns (absent entries are zeros): (row, cluster), and the centres that are
+    drawn in their place (cluster, size, column, value). Clusters are 1..k."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    wide = values.groupBy(row).pivot(column, columns).agg(F.first("value").cast("double")).na.fill(0.0)
+    points = wide.select(row, array_to_vector(F.array(*[F.col(f"`{c}`") for c in columns])).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=100).fit(points)
+    labels = model.transform(points).select(row, (F.col("prediction") + 1).cast("int").alias("cluster"))
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
+    centres = [(i + 1, c, float(v)) for i, centre in enumerate(model.clusterCenters()) for c, v in zip(columns, centre, strict=True)]  # k x columns
+    kind = values.schema[column].dataType.simpleString()
+    table = values.sparkSession.createDataFrame(centres, f"cluster int, {column} {kind}, value double")
+    return labels, table.join(sizes, "cluster").select("cluster", "size", column, "value")
+
+
 def search_perplexity(points: DataFrame) -> DataFrame:
     """(K, L, perplexity): the line through the resamples of a search."""
     return rank.mean_by(points, "perplexity", "K", "L")

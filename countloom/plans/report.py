@@ -14,6 +14,21 @@ from countloom.sources.matrix import Experiment, write_module_table
 
 log = logging.getLogger("countloom")
 
+
+def log_to(path: str | None, append: bool = False, verbose: bool = True) -> None:
+    """Send the run's messages to a file, anew or appended, and to the console if verbose; None stops the file."""
+    for h in list(log.handlers):
+        log.removeHandler(h)
+        h.close()
+    handlers: list[logging.Handler] = [logging.StreamHandler()] if verbose else []
+    if path is not None:
+        handlers.append(logging.FileHandler(path, mode="a" if append else "w"))
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s .. %(message)s"))
+        log.addHandler(h)
+    log.setLevel(logging.INFO)
+    log.propagate = not handlers
+
 TABLES = ("cells", "features", "factors", "module_splits", "cell_splits", "embedding")
 
 

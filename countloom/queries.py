@@ -85,6 +85,7 @@ Q["wide_to_coo"] = lambda spark, d: matrix.from_wide(matrix.read(spark, d, "embe
 SQL["wide_to_coo"] = "SELECT vec_id, CAST(i AS BIGINT) AS dim, CAST(embedding[i] AS DOUBLE) AS n FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE embedding[i] <> 0"
 
 Q["text_counts"] = lambda spark, d: matrix.text_experiment(spark, d).counts.groupBy("cell_id").agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+SQL["text_counts"] = "SELECT cell_id, COUNT(*) AS words, CAST(SUM(n) AS BIGINT) AS tokens FROM (SELECT doc_id AS cell_id, word, COUNT(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM documents) GROUP BY 1, 2) GROUP BY 1"
 
 
 @query("transpose", "SELECT cell_id AS feature_id, feature_id AS cell_id, n FROM mx")
@@ -145,6 +146,17 @@ def _(x):
     return z.select("feature_id", "cell_id", r("value", 7).alias("value"))
 
 
+@query("norm_scaled_columns", "SELECT feature_id, cell_id, round((value - s / g) / sqrt((q - s * s / g) / (g - 1)), 7) AS value FROM (SELECT feature_id, cell_id, sqrt(n) AS value, SUM(sqrt(n)) OVER (PARTITION BY cell_id) AS s, SUM(n) OVER (PARTITION BY cell_id)::DOUBLE AS q, (SELECT COUNT(*) FROM features)::DOUBLE AS g FROM mx)")
+def _(x):
+    roots = x.counts.select("feature_id", "cell_id", F.sqrt("n").alias("value"))
+    return normalize.scaled(roots, "column", x.features.count(), x.cells.count()).select("feature_id", "cell_id", r("value", 7).alias("value"))
+
+
+@query("log_normalized", "SELECT feature_id, cell_id, round(log2(n / (t / (SELECT AVG(n) FROM nc)) + 1), 9) AS value FROM (SELECT *, SUM(n) OVER (PARTITION BY cell_id) AS t FROM mx)")
+def _(x):
+    return normalize.log_normalized(x.counts).withColumn("value", r("value", 9))
+
+
 @query("clip", ZSQL.format(f"least(greatest({ZVALUE}, -2), 2)"))
 def _(x):
     z = normalize.z_scored(normalize.normalized(x.counts, transformation="sqrt"), "feature_id", x.cells.count())
@@ -387,8 +399,10 @@ def _(x):
     return rank.elbow(curve, "x", "y").withColumn("distance", r("distance", 6))
 
 
-Q["added_log_lik"] = lambda s, d: rank.added_log_lik(s.createDataFrame([(1, -9.0), (2, -7.5)], "iter int, log_lik double"), s.createDataFrame([(1, -4.0), (2, -3.0), (3, -2.0)], "iter int, log_lik double"))
-SQL["added_log_lik"] = "SELECT * FROM (VALUES (1, -13.0::DOUBLE), (2, -10.5), (3, -9.5)) t(iter, log_lik)"
+@query("added_log_lik", f"SELECT iter, coalesce(a.v, (SELECT v FROM a WHERE iter = {K})) + coalesce(b.v, (SELECT v FROM b WHERE iter = {L})) AS log_lik FROM a FULL JOIN b USING (iter)", PRELUDE + ", a AS (SELECT z AS iter, -SUM(n)::DOUBLE AS v FROM yz GROUP BY z), b AS (SELECT y AS iter, -SUM(n)::DOUBLE AS v FROM yz GROUP BY y)")
+def _(x):
+    sums = aggregate.by_both(x.counts, x.cells, x.features)
+    return rank.added_log_lik(*[sums.groupBy(F.col(label).alias("iter")).agg((-F.sum("n")).cast("double").alias("log_lik")) for label in ("z", "y")])
 
 
 @query("downsample_cells")
@@ -521,6 +535,23 @@ def _(x):
     return plots.reduced_features(x, _dims(x), [1, 2, 3], z_score=False, trim=None).withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
+@query("facet_order", "SELECT cell_id, feature_id, value, CAST(ROW_NUMBER() OVER (PARTITION BY feature_id ORDER BY value, cell_id) AS INTEGER) AS place FROM (SELECT c.cell_id, f.feature_id, CAST(COALESCE(m.n, 0) AS BIGINT) AS value FROM cells c CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS feature_id) f LEFT JOIN mx m ON m.feature_id = f.feature_id AND m.cell_id = c.cell_id)")
+def _(x):
+    return plots.ordered_facets(plots.violin(x, [1, 2, 3]).drop("z"))
+
+
+@query("color_breaks", "SELECT CAST(i AS INTEGER) AS place, round(-m + 2 * m * i / 100, 9) AS value FROM (SELECT MAX(abs(n - 100))::DOUBLE AS m FROM yz) CROSS JOIN (SELECT unnest(range(0, 101)) AS i)")
+def _(x):
+    values = aggregate.by_both(x.counts, x.cells, x.features).select((F.col("n") - 100).alias("value"))
+    return plots.color_breaks(values, 100).withColumn("value", r("value", 9))
+
+
+@query("row_clusters")
+def _(x):
+    shares = normalize.prop_table(aggregate.by_cluster(x.counts, x.cells), "feature_id")
+    return plots.row_clusters(shares, list(range(1, K + 1)), 6)[0]
+
+
 @query("probability_map", 'SELECT "row", "column", round(v, 9) AS probability, round(CASE WHEN sd > 0 THEN (sqrt(v) - av) / sd ELSE 0 END, 7) AS relative FROM (SELECT *, stddev_samp(sqrt(v)) OVER (PARTITION BY "row") AS sd, AVG(sqrt(v)) OVER (PARTITION BY "row") AS av FROM (SELECT CAST(y AS VARCHAR) AS "row", CAST(z AS VARCHAR) AS "column", p AS v FROM pop))', BOTH)
 def _(x):
     return plots.probability_map(x).withColumns({"probability": r("probability", 9), "relative": r("relative", 7)})
@@ -590,6 +621,11 @@ def _(x):
     return fits.recursive_split(x, "y", 2, 4)
 
 
+@query("split_module")
+def _(x):
+    return fits.split_module(x, 1).features.select("feature_id", "y")
+
+
 @query("ambient_fit")
 def _(x):
     d = fits.remove_ambient(x)

@@ -5,6 +5,7 @@ Fixed column names: cells have cell_id, name, sample and, once clustered, z; fea
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +99,11 @@ def text_experiment(spark: SparkSession, sf_dir: str) -> Experiment:
 
 
 def without_cells(background: DataFrame, cells: DataFrame, on: str = "cell_id") -> DataFrame:
-    """Background columns that are not cells."""
+    """Background columns that are not cells; their batch, if they have one, goes with them. Without names on either side
+    nothing can be told, which is warned of."""
+    if on not in background.columns or on not in cells.columns:
+        warnings.warn(f"the background or the cells have no column {on!r}: make sure that the background holds no cells", stacklevel=2)
+        return background
     return background.join(cells.select(on).distinct(), on, "left_anti")
 
 

@@ -112,6 +112,24 @@ def test_batches(spark):
     assert d.cells.count() == 40 and {r.z.split("-")[0] for r in d.cells.collect()} == {"0", "1"}
 
 
+def test_background_of_batches(spark):
+    x, _, _ = simulate.simulate_contamination(spark, cells=40, genes=40)
+    x = replace(x, cells=x.cells.drop("contamination").withColumn("batch", F.col("cell_id") % 2))
+    empty = x.counts.join(x.cells.select("cell_id", "batch"), "cell_id")
+    empty = empty.where("cell_id < 12").withColumn("cell_id", F.col("cell_id") + F.when(F.col("cell_id") < 10, 1000).otherwise(0))
+    with pytest.raises(ValueError):
+        fits.remove_ambient_batches(x, "batch", background=empty, max_iter=1)
+    d = fits.remove_ambient_batches(x, "batch", background=empty, background_batch="batch", max_iter=1)
+    assert d.cells.count() == 40 and d.counts.where("n < 0").isEmpty()
+
+
+def test_modules_are_divided_on_parts_of_clusters(planted):
+    _, x, z, _ = planted
+    i, j = np.nonzero(x)
+    sums = kernels.subclusters(kernels.Sparse(i, j, x[i, j], x.shape), z, Priors(), np.random.default_rng(1), most=5)
+    assert 6 < sums.shape[1] <= 15 and (sums.sum(axis=1) == x.sum(axis=1)).all()
+
+
 def test_leaf_order_and_smoothing():
     d = np.array([[0, 9, 1], [9, 0, 8], [1, 8, 0.0]])
     order = kernels.complete_order(d).tolist()

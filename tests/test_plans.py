@@ -99,3 +99,37 @@ def test_scratch_tables_need_a_shared_folder():
     with pytest.raises(ValueError, match="share"):
         Tables(session("spark://host:7077"))
     assert Tables(session("local[4]")).base.startswith("file://")
+
+
+def test_rows_of_a_heatmap_by_k_means(spark):
+    rows = [(f, z, float(10 * (f % 2) + z)) for f in range(12) for z in (1, 2) if not (f == 3 and z == 2)]
+    values = spark.createDataFrame(rows, "feature_id long, z int, value double")
+    labels, centres = plots.row_clusters(values, [1, 2], 2)
+    got = {r.feature_id: r.cluster for r in labels.collect()}
+    assert len({got[f] for f in range(0, 12, 2)}) == 1 and got[0] != got[1]
+    assert sum(r["size"] for r in centres.where("z = 1").collect()) == 12
+
+
+def test_log_goes_to_a_file(tmp_path):
+    for append, want in ((False, ["one"]), (True, ["one", "two"]), (False, ["three"])):
+        report.log_to(str(tmp_path / "log"), append, verbose=False)
+        report.log.info(want[-1])
+        assert [line.split(" .. ")[1] for line in (tmp_path / "log").read_text().splitlines()] == want
+    report.log_to(None)
+
+
+def test_warnings(spark):
+    from countloom.operators import filters
+
+    features = spark.createDataFrame([(1, "aa"), (2, "ab")], "feature_id long, name string")
+    with pytest.warns(UserWarning, match="several"):
+        filters.feature_index(["a"], features, exact=False)
+    with pytest.warns(UserWarning, match="no feature"):
+        filters.feature_index(["aa", "zz"], features)
+    nameless = spark.createDataFrame([(1, 2)], "feature_id long, n long")
+    with pytest.warns(UserWarning, match="holds no cells"):
+        assert matrix.without_cells(nameless, spark.createDataFrame([(1,)], "cell_id long")).count() == 1
+    runs = spark.createDataFrame([(1, 2)], "index int, K int")
+    a, b = (spark.createDataFrame([(1, 1, n)], "feature_id long, cell_id long, n long") for n in (1, 2))
+    with pytest.warns(UserWarning, match="different counts"):
+        assert filters.append_runs(runs, runs, a, b).count() == 2
