@@ -98,16 +98,21 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map" not in f.dataType.simpleString()])
 
 
-def running(df: DataFrame, part: list[str], order: list[str], value: Column, name: str, buckets: int = 256) -> DataFrame:
+def buckets_for(rows: int) -> int:
+    """Buckets for running() over so many rows: 100,000 rows each, were all rows one part."""
+    return min(max(64, -(-rows // 100_000)), 1 << 18)
+
+
+def running(df: DataFrame, part: list[str], order: list[str], value: Column, name: str, rows: int) -> DataFrame:
     """Add `name`: the sum of `value` over the earlier rows of the same part, rows being ordered by
-    (hash bucket of `order`, `order`). A part is spread over `buckets` tasks: each sums its own rows, and the
-    offsets come from the buckets' totals, of which there are `buckets` a part. Part columns must not be null.
+    (hash bucket of `order`, `order`). A part is spread over as many buckets as `rows`, the number of all rows, ask for:
+    each sums its own rows, and the offsets come from the buckets' totals. Part columns must not be null.
     Rows that tie in `order` get different sums; which of them comes first is open."""
     b, v = "__bucket", "__value"
-    rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn(v, value.cast("long"))
-    totals = rows.groupBy(*part, b).agg(F.sum(v).alias("__total"))
+    split = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets_for(rows))).cast("int")).withColumn(v, value.cast("long"))
+    totals = split.groupBy(*part, b).agg(F.sum(v).alias("__total"))
     before = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     totals = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(before.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__total")
     within = Window.partitionBy(*part, b).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(name, F.coalesce(F.sum(v).over(within), F.lit(0)))
-    return rows.join(totals, [*part, b]).withColumn(name, F.col(name) + F.col("__offset")).drop(b, v, "__offset")
+    split = split.withColumn(name, F.coalesce(F.sum(v).over(within), F.lit(0)))
+    return split.join(totals, [*part, b]).withColumn(name, F.col(name) + F.col("__offset")).drop(b, v, "__offset")

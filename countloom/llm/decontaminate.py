@@ -182,11 +182,11 @@ def groups_of(benchmark: DataFrame, items_limit: int, scratch: Scratch) -> tuple
     """The items (group, item_id, text) in groups of about `items_limit` bytes of text, and their number; repeated items
     once."""
     once = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.octet_length("text") > 0).distinct()
-    size = once.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size, rows = once.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("*")).first()
     n = max(1, -(-size // items_limit))
     if n == 1:
         return once.withColumn("group", F.lit(0).cast("long")), 1
-    placed = running(once, [], ["item_id", "text"], F.octet_length("text"), "before")
+    placed = running(once, [], ["item_id", "text"], F.octet_length("text"), "before", rows)
     return scratch.save(placed.select(F.floor(F.col("before") / items_limit).cast("long").alias("group"), "item_id", "text"), "items"), n
 
 

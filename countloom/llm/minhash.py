@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, width:
         if i <= rounds:  # one more hub for each bucket, of most links
             links = tested.where("linked")
             degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-            rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.xxhash64("node", F.lit(i))))
-            hubs = labelled.join(degree, "node", "left").withColumn("rank", rank).where("rank = 1").select("band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+            most = F.max_by(F.struct("node", "n", "component"), F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node", F.lit(i))))
+            hubs = labelled.join(degree, "node", "left").groupBy("band").agg(most.alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
             offered = labelled.join(hubs, "band").where(fits & (F.col("component") != F.col("hub_component")))
         else:  # whatever is left
             left = labelled.select("node", "component").distinct()

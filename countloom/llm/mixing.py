@@ -63,7 +63,7 @@ def plan(docs: DataFrame, scratch: Scratch, block: int = 128, most: float = 3.0,
     sources = sources.withColumn("first", F.coalesce(F.sum("draws").over(Window.partitionBy(F.lit(0)).orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = scratch.save(sources.coalesce(1), "sources")
     total = sources.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
-    sized = running(sized, ["skey"], ["doc_id", "t"], F.col("size"), "at").drop("source")
+    sized = running(sized, ["skey"], ["doc_id", "t"], F.col("size"), "at", sized.count()).drop("source")
     # a source's draws are one interval of all draws; the intervals are cut at multiples of `piece` for an equi-join
     piece = 65536
     cut = sources.where("draws > 0").select("skey", "first", "draws", "blocks", F.explode(F.sequence(F.floor(F.col("first") / piece), F.floor((F.col("first") + F.col("draws") - 1) / piece))).alias("piece"))

@@ -47,7 +47,7 @@ def propagate(linked: DataFrame, quotas: list[int], scratch: Scratch, rounds: in
         if not any(leave.values()):
             break
         limits = values(spark, [(a, b, n) for (a, b), n in leave.items()], "shard int, to int, most long")
-        queue = running(moves, ["shard", "to"], ["g1", "g2"], F.col("n"), "before").join(F.broadcast(limits), ["shard", "to"])
+        queue = running(moves, ["shard", "to"], ["g1", "g2"], F.col("n"), "before", sum(quotas)).join(F.broadcast(limits), ["shard", "to"])
         goes = F.least(F.col("n"), F.greatest(F.lit(0), F.col("most") - F.col("before")))
         queue = queue.withColumn("goes", goes).where("goes > 0").select("g1", "g2", "shard", "to", "goes")
         change = queue.select("g1", "g2", "shard", (-F.col("goes")).alias("n")).unionByName(queue.select("g1", "g2", F.col("to").alias("shard"), F.col("goes").alias("n")))
@@ -65,7 +65,7 @@ def place(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = 4)
     groups = base.where("not none").groupBy(F.col("t1").alias("g1"), F.col("t2").alias("g2")).agg(F.count("*").alias("members")).where("members > 1")
     groups = scratch.save(groups, "groups")
     # each linked document begins in a shard of its own choice; equal choices of a group are one row
-    rank = running(base.where("not none").join(groups, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2"))), ["g1", "g2"], ["doc_id"], F.lit(1), "rank", buckets=64)
+    rank = running(base.where("not none").join(groups, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2"))), ["g1", "g2"], ["doc_id"], F.lit(1), "rank", total)
     linked = scratch.save(rank.select("doc_id", "t1", "t2", "size", "text_crc32", "rank"), "linked")
     start = linked.select(F.col("t1").alias("g1"), F.col("t2").alias("g2"), F.pmod(F.xxhash64("doc_id", "t1", "rank"), F.lit(shards)).cast("int").alias("shard"))
     state = propagate(start.groupBy("g1", "g2", "shard").agg(F.count("*").alias("n")), quotas, scratch, rounds)
@@ -74,14 +74,14 @@ def place(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = 4)
     where = state.withColumn("upto", upto).groupBy("g1", "g2").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("cuts"))  # at most `shards` entries
     sent = linked.join(where, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2")))
     sent = sent.withColumn("shard", F.filter("cuts", lambda c: c["upto"] > F.col("rank"))[0]["shard"]).select("doc_id", "t1", "t2", "size", "text_crc32", "shard")
-    sent = running(sent, ["shard"], ["t1", "t2", "doc_id"], F.lit(1), "slot", buckets=64)
+    sent = running(sent, ["shard"], ["t1", "t2", "doc_id"], F.lit(1), "slot", total)
     quota = F.array(*[F.lit(q) for q in quotas])
     sent = scratch.save(sent.withColumn("over", F.col("slot") >= F.element_at(quota, F.col("shard") + 1)), "sent")
     held = dict(sent.groupBy("shard").count().collect())
     held = [min(held.get(s, 0), q) for s, q in enumerate(quotas)]
     single = base.join(groups, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2")) & ~F.col("none"), "left_anti").drop("none")
     rest = single.unionByName(sent.where("over").select(*single.columns))
-    rest = running(rest, [], ["doc_id", "t1"], F.lit(1), "nth", buckets=1024)
+    rest = running(rest, [], ["doc_id", "t1"], F.lit(1), "nth", total)
     ends, at = [], 0
     for s, q in enumerate(quotas):
         at += q - held[s]
