@@ -11,8 +11,8 @@ The permutations are swap-or-not shuffles of [0, n): each round pairs x with (ke
 pair decides whether they swap. That is a bijection for any n, is made of built-in functions, and reruns agree.
 
 Edge cases: null and empty texts have size 0 and are never taken; a null source is a source of its own, the last;
-repeated rows each have their own place in their source's stream; an empty table gives an empty one; other columns are
-not looked at.
+repeated rows, ties and rows without an id each have their own place in their source's stream; very long texts fill many
+blocks; an empty table gives an empty one; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ to the wishes that remain. Documents without links, and what exceeds a quota, fi
 the row counts, at most one apart, and every shard ends at exactly its quota.
 
 Edge cases: an empty table gives an empty one; repeated rows count one by one; a group larger than a quota is split over
-several shards; null ids take part like any other; other columns are not looked at.
+several shards; null ids and very long texts take part like any other; ties go by a hash; other columns are not looked at, and
+sharded() replaces columns named shard and slot.
 """
 
 from __future__ import annotations

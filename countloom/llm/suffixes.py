@@ -9,9 +9,10 @@ a few array operations, not a loop over suffixes; runs of one byte take one wave
 as smaller than every byte, and a segment's last start brings along what follows it up to the next directly sorted
 suffix. Starts whose common prefix with a neighbour in the order is `window` bytes or more are repeats.
 
-Edge cases: null texts are empty; texts shorter than the window lose nothing; overlaps count; repeated rows and equal
-texts of at least the window's length are removed whole; bytes are bytes, a removed run may cut a character (the kept
-bytes are hashed as they are); other columns are not looked at.
+Edge cases: null texts are empty; texts shorter than the window lose nothing; very long texts are cut into pieces of
+segments, never shortened; overlaps count; ties and repeated rows and equal texts of at least the window's length are removed
+whole; bytes are bytes, a removed run may cut a character (the kept bytes are hashed as they are); rows without an id take
+part; an empty table gives an empty result; other columns are not looked at, whatever their names. doc_id must be a long.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ are cut into key ranges by the first letters of the key and, within a range, sal
 to each of its salts. Pages then take their host's stack by an equi-join on the host.
 
 Edge cases: a null url or one without "://" has an empty host and path and meets no rule; an empty table gives an empty
-one; repeated pages are judged one by one; a column of the pages that is named like an output column is not looked at.
+one; repeated pages and null ids are judged one by one; ties cannot be, as rules of one length that fit one url are the same
+rule; very long urls are judged whole; a column of the pages that is named like an output column is not looked at.
 """
 
 from __future__ import annotations
