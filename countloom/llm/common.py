@@ -46,6 +46,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let go of what the driver and the shuffle files hold of queries that are done: they stay until the driver collects
+        its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later plan reads."""
         jvm = self.spark._jvm

@@ -14,8 +14,8 @@ of their own never meet. Every link is confirmed on the full sets of 64-bit shin
 With bands of 4 rows and 32 bands, and slots taken as independent, a pair of similarity 0.85 is missed with probability 6e-11, one of 0.8 with 5e-8.
 
 Edge cases: null texts and texts without words have an empty set, link with nothing and are kept; ties and repeated rows
-fall into one class; very long texts are read whole; rows without an id get no component and are not kept (deduplicated() treats
-them like any other); an empty table gives an empty result; other columns are not looked at, whatever their names. doc_id must
+fall into one class; very long texts are read whole; rows without an id get no component and are not kept (deduplicated() keeps
+them); an empty table gives an empty result; other columns are not looked at, whatever their names. doc_id must
 be a long.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from countloom.llm.common import Scratch, row_hash
+from countloom.llm.common import Scratch
 from countloom.llm.components import components
 from countloom.llm.words import SPACE, U, Words, mix, slices
 
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, width:
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = full_sets(texts, width).join(wanted, ["node", "g1"], "left_semi").dropDuplicates(["node", "g1"]).drop("g1")
     sets = scratch.save(sets, "sets")
+    scratch.settle()
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) with whether they are linked."""
@@ -192,6 +193,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, width:
     hubs = buckets.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     tested = confirm(ordered(buckets.join(hubs, "band").where(fits)), "pairs0")
     grouped = scratch.save(components(tested.where("linked"), scratch, "c0_"), "grouped0")
+    scratch.settle()
     for i in range(1, rounds + 2):
         labelled = buckets.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = labelled.select("band", "node", "n", "component")
@@ -214,6 +216,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, width:
         tested = tested.unionByName(now)
         if not now.where("linked").isEmpty():
             grouped = scratch.save(components(tested.where("linked"), scratch, f"c{i}_"), f"grouped{i}")
+        scratch.settle()
     where = classes.join(grouped, "node", "left").select("g1", "g2", F.coalesce("component", "node").alias("component"))
     out = rows.drop("bands").join(where, ["g1", "g2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -222,19 +225,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, width:
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one of least id, rows without an id last. Rows are told apart by
-    id and text, so rows of one id with different texts are different documents, and rows that agree in both are one. Rows
-    without an id and without words all stay."""
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.select(key.alias("doc_id"), "text")
-    found = near_duplicates(rows, scratch, **how).select(F.col("doc_id").alias("__row"), "component_id", "n_shingles")
-    ids = docs.select(key.alias("__row"), F.col("doc_id").alias("__id")).distinct()
-    order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row"))
-    kept = found.distinct().join(ids, "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row"), F.max(F.col("n_shingles") > 0).alias("__words"))
-    met = docs.withColumn("__row", key).join(kept.select("__row", "__words").distinct(), "__row")
-    first = F.row_number().over(Window.partitionBy("__row").orderBy(row_hash(docs)))
-    alone = F.col("doc_id").isNull() & ~F.col("__words")
-    return met.withColumn("__first", first).where((F.col("__first") == 1) | alone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each group of near duplicates: the one of least id, once if it is repeated (rows of one id are
+    one document). Rows without an id all stay."""
+    kept = near_duplicates(docs, scratch, **how).where("kept").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return rows.withColumn("__first", first).where("__first = 1").drop("__first").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

@@ -127,16 +127,6 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, (_, c) in truth.items() if c == i) and out.columns == docs.columns
 
 
-def test_deduplicated_tells_rows_apart_by_id_and_text(spark):
-    rng = random.Random(12)
-    a, b, c = (prose(rng, 60) for _ in range(3))
-    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (2, b, 4), (None, a, 5), (None, c, 6), (None, c, 7), (None, None, 8), (None, "", 9), (None, None, 8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
-    out = minhash.deduplicated(docs, Scratch(spark), percent=80)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
-    assert got == sorted([(False, 1, a), (False, 1, b), (True, 0, c), (True, 0, ""), (True, 0, ""), (True, 0, "")]) and out.columns == docs.columns
-
-
 def test_components_of_a_chain(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (502, 501)]
