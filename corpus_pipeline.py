@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8 or more over five-word shingles: the one of least id, rows without an id
-    last. Rows that agree in id and text are one; null texts and texts without words are like nothing and stay."""
+    """One document of each group of similarity 0.8 or more over five-word shingles: the one of least id. Rows
+    of one id are one document; rows without an id all stay; null texts and texts without words are like nothing and stay."""
     return minhash.deduplicated(docs, Scratch(spark), percent=80)
 
 
