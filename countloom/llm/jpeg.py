@@ -122,7 +122,8 @@ def store_all(texts: list[bytes]) -> list[bytes]:
         sizes.append(n)
         shapes.append((whole, wide))
         padded.append(text.ljust(whole * 64, b"\xff"))
-    pieces = encode_pieces(np.frombuffer(b"".join(padded), np.uint8)) if texts else []
+    whole, step = np.frombuffer(b"".join(padded), np.uint8), UNIT * 1024
+    pieces = [p for i in range(0, len(whole), step) for p in encode_pieces(whole[i : i + step])]
     out, i = [], 0
     for n, (blocks, wide) in zip(sizes, shapes, strict=True):
         own = pieces[i : i + blocks // RESTART]
