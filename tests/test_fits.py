@@ -179,6 +179,27 @@ def test_components_have_every_cell(planted):
     assert got.count() == 60 and (x > 0).all(axis=1).sum() < 40
 
 
+def test_components_are_those_of_the_covariance_and_need_no_dense_rows(planted):
+    from pyspark.ml.functions import vector_to_array
+
+    e, x, _, _ = planted
+    got = fits.components(e, 3, features=25)
+    assert "Python" not in (plan := got._jdf.queryExecution().toString()) and "Arrow" not in plan  # what reads a part stops no worker
+    values = np.log2(x / (x.sum(axis=0) / x.sum(axis=0).mean()) + 1)
+    spread = (values**2).sum(axis=1) - values.sum(axis=1) ** 2 / x.shape[1]
+    top = values[np.sort(np.argsort(-spread, kind="stable")[:25])]
+    vectors = np.linalg.eigh(np.cov(top))[1][:, ::-1][:, :3]
+    want = np.abs(top.T @ vectors)
+    rows = got.select(vector_to_array("pc").alias("pc")).orderBy("cell_id").collect()
+    assert np.allclose(np.abs(np.array([r.pc for r in rows])), want)
+
+
+def test_starts_for_unlabelled_cells(planted):
+    e = planted[0]
+    got = fits.initial_clusters(e, features=25).toPandas()
+    assert len(got) == 60 and set(got.z) == {1, 2}
+
+
 def test_registered_fits_are_not_cut_short(monkeypatch):
     import countloom.queries as q
 
