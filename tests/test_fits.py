@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from countloom.operators import contamination
 from countloom.plans import fits, kernels
 from countloom.plans.kernels import Priors
 from countloom.sources import matrix, simulate
@@ -105,6 +106,29 @@ def test_decontamination_finds_the_ambient_share(spark):
         fits.remove_ambient(x, delta=(-1, 2))
 
 
+def test_decontamination_is_the_same_in_one_task_in_blocks_and_by_joins(spark, monkeypatch):
+    from countloom.plans import ambient, blocks
+
+    x, _, _ = simulate.simulate_contamination(spark, cells=40, genes=40, delta=(2, 8))
+    x = replace(x, cells=x.cells.drop("contamination"), counts=x.counts.withColumn("n", F.col("n") + 0.5))
+    steps = []
+    monkeypatch.setattr(contamination, "shares", lambda *a, own=contamination.shares: steps.append(1) or own(*a))
+    every = [fits.remove_ambient(x, max_iter=3, every=1)]
+    monkeypatch.setattr(ambient, "LIMIT", 10)
+    monkeypatch.setattr(blocks, "TASK", 500)
+    every.append(fits.remove_ambient(x, max_iter=3, every=1))
+    assert not steps  # no joins in a step
+    monkeypatch.setattr(fits, "STATE", 10)
+    every.append(fits.remove_ambient(x, max_iter=3, every=1))
+    assert len(steps) == 3
+    want = [(r.theta, r.contamination) for r in every[2].cells.orderBy("cell_id").collect()]
+    left = [r.n for r in every[2].counts.orderBy("feature_id", "cell_id").collect()]
+    for d in every[:2]:
+        assert d.log_lik == pytest.approx(every[2].log_lik, rel=1e-9) and d.delta == pytest.approx(every[2].delta, rel=1e-6)
+        assert np.allclose([(r.theta, r.contamination) for r in d.cells.orderBy("cell_id").collect()], want, atol=1e-8)
+        assert np.allclose([r.n for r in d.counts.orderBy("feature_id", "cell_id").collect()], left, atol=1e-6)
+
+
 def test_batches(spark):
     x, _, _ = simulate.simulate_contamination(spark, cells=40, genes=40)
     x = replace(x, cells=x.cells.drop("contamination").withColumn("batch", F.col("cell_id") % 2))
