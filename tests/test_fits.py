@@ -281,6 +281,20 @@ def test_blocks_find_what_was_planted(planted, monkeypatch):
     assert agreement([r.z for r in both.z.orderBy("cell_id").collect()], z) > 0.9 and both.log_lik == max(both.history)
 
 
+def test_runs_over_blocks_go_side_by_side_and_bring_the_same(planted, monkeypatch):
+    import threading
+
+    e, spark, seen = planted[0], planted[0].counts.sparkSession, set()
+    monkeypatch.setattr(fits, "LIMIT", 10)
+    m, own = fits.matrix_of(e), fits.fitted
+    monkeypatch.setattr(fits, "fitted", lambda *a, **how: seen.add(threading.get_ident()) or own(*a, **how))
+    runs = fits.grid({"L": [3]}, 3, 5)
+    got = [(r.log_lik, r.y) for r in fits.run_all(spark, m, "g", runs, Priors(), max_iter=3).collect()]
+    assert len(seen) == 3
+    alone = [own(m, "g", r, Priors(), max_iter=3) for r in runs]
+    assert got == [(r["log_lik"], r["y"].tolist()) for r in alone]
+
+
 def test_searches_in_blocks(planted, monkeypatch):
     e, x, _, _ = planted
     want = {r.K: r.mean_perplexity for r in fits.grid_search(e, "c", {"K": [2, 3]}, chains=2).collect()}
