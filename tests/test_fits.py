@@ -46,6 +46,27 @@ def test_distributed_cells_keep_their_best(planted):
     assert m.log_lik == max(m.history) >= m.history[0]
 
 
+def test_distributed_cells_read_counts_once_and_keep_empty_cells(planted, spark, monkeypatch):
+    from countloom.plans import blocks
+
+    e, _, z, _ = planted
+    by_joins = fits.cluster_cells_by_joins(e, 3)
+    monkeypatch.setattr(blocks, "PIECE", 16)
+    monkeypatch.setattr(blocks, "TASK", 300)
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda n: read.add(1) or n, "long")
+    entries = e.counts.count()
+    counts = e.counts.select("feature_id", "cell_id", seen("n").alias("n"))
+    m = fits.cluster_cells_distributed(replace(e, counts=counts), 3)
+    assert read.value <= entries and len(m.history) > 3
+    assert m.history == pytest.approx(by_joins.history)
+    assert {r.cell_id: r.z for r in m.z.collect()} == {r.cell_id: r.z for r in by_joins.z.collect()}
+    more = e.cells.unionByName(spark.createDataFrame([(100, None)], "cell_id long, sample string"))
+    stray = e.counts.unionByName(spark.createDataFrame([(1, 200, 5), (99, 3, 5)], "feature_id long, cell_id long, n long"))
+    got = fits.cluster_cells_distributed(replace(e, cells=more, counts=stray), 3).z.collect()
+    assert {r.cell_id for r in got} == {*range(60), 100} and {r.z for r in got} <= {1, 2, 3}
+
+
 def test_parallel_gibbs_improves(planted):
     m = fits.cluster_cells_distributed(planted[0], 3, max_iter=4, algorithm="Gibbs")
     assert m.log_lik == max(m.history) > m.history[0]
