@@ -443,6 +443,37 @@ def test_toxicity(spark):
     assert {5000, 5001, 5002} <= kept and docs.count() > len(kept)
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
+    """More labelled texts than one task takes: words that few texts hold count, whichever texts they are."""
+    docs, labels = toxic_corpus(spark, 600)
+    rare = [(10_000 + i, f"fine mild text rareword{i % 12} of these", "xa", "s", 0) for i in range(96)]
+    docs = docs.unionByName(spark.createDataFrame(rare, DOCS))
+    labels = labels.unionByName(spark.createDataFrame([(i, 1, 1) for i, *_ in rare], labels.schema))
+    monkeypatch.setattr(toxicity, "LEARNER", 100_000)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = {r.doc_id: r.toxic_score for r in toxicity.scored(docs, labels, F.lit(True), per_label=10).collect()}
+    right = np.mean([(got[i] >= 0.7) == bool(t) for i, t in truth.items()])
+    assert right > 0.97 and sum(got[i] >= 0.7 for i, *_ in rare) > 90
+    again = {r.doc_id: r.toxic_score for r in toxicity.scored(docs.repartition(7), labels, F.lit(True), per_label=10).collect()}
+    assert again == pytest.approx(got, abs=1e-6)
+
+
+def test_sums_over_learners(spark):
+    """Counts of learners are those of all texts in one."""
+    docs, labels = toxic_corpus(spark, 60)
+    rows = toxicity.labelled(docs, toxicity.marked(labels, F.lit(True)))
+    from countloom.llm.common import Scratch
+
+    learners = toxicity.Learners(rows, 5 * toxicity.LEARNER, False, Scratch(spark))
+    assert learners.rows.count() > 1
+    got, _ = toxicity.summed(learners.each(toxicity.counted, ["xa"], toxicity.PIECES), 3, mean=False)
+    every = rows.collect()
+    words, first = toxicity.features(np.frombuffer(b"".join(r.text.encode() + b" " for r in every), np.uint8), np.cumsum([0, *(len(r.text.encode()) + 1 for r in every)]))
+    assert (got[:, :2].T == toxicity.seen_by_label(words, first, np.array([r.toxic for r in every]))).all()
+    xa = np.repeat([r.lang == "xa" for r in every], np.diff(first))
+    assert (got[:, 2] == np.bincount(words[xa, 0], minlength=len(got))).all()
+
+
 def test_score_looks_at_text_only(spark):
     docs, labels = toxic_corpus(spark, 200)
     a = toxicity.scored(docs, labels, F.lit(True))
