@@ -474,6 +474,15 @@ def test_sums_over_learners(spark):
     assert (got[:, 2] == np.bincount(words[xa, 0], minlength=len(got))).all()
 
 
+def test_settle_gives_native_memory_back(spark, monkeypatch):
+    from countloom.llm import common
+
+    seen, real = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda s: seen.append(real(s)))
+    common.Scratch(spark).settle()
+    assert len(seen) == 1 and isinstance(seen[0], bool)
+
+
 def test_score_looks_at_text_only(spark):
     docs, labels = toxic_corpus(spark, 200)
     a = toxicity.scored(docs, labels, F.lit(True))
