@@ -1,5 +1,7 @@
 """Draws, embeddings, reports, streams."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,68 @@ def test_every_cell_gets_a_place(x):
     assert embed.embedding(plain, "pca", max_cells=7).count() == 7
 
 
+class Alone:
+    """One task, which has all."""
+
+    rank, size = 0, 1
+
+    def swap(self, each):
+        return [each(0)]
+
+    def gather(self, own):
+        return [own]
+
+
+def test_neighbours_lay_out_every_cell(x, monkeypatch):
+    def placed(*args):
+        raise AssertionError("cells are placed beside a sample")
+
+    monkeypatch.setattr(embed, "_placed", placed)
+    got = embed.embedding(x, "neighbours", 5, min_size=1, layout=12, rounds=20).toPandas()
+    assert sorted(got.cell_id) == sorted(r.cell_id for r in x.cells.collect()) and np.isfinite(got[["dim1", "dim2"]].to_numpy()).all()
+    again = embed.embedding(replace(x, counts=x.counts.repartition(7), cells=x.cells.repartition(3)), "neighbours", 5, min_size=1, layout=12, rounds=20).toPandas()
+    both = got.merge(again, on="cell_id")
+    assert len(both) == len(got) and np.allclose(both.dim1_x, both.dim1_y, atol=1e-6)
+
+
+@pytest.mark.parametrize("exact", [4000, 10])
+def test_whole_layout_keeps_groups_apart_and_copies_together(exact, monkeypatch):
+    from countloom.plans import neighbours
+
+    monkeypatch.setattr(neighbours, "EXACT", exact)
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(c, 0.2, (30, 5)) for c in (0, 4, 8)])
+    points, g = np.concatenate([points, points[:40]]), np.append(np.repeat(np.arange(3), 30), np.repeat([0, 1], [30, 10]))
+    known, at, many = neighbours.distinct(points)
+    assert len(known) == 90 and many.sum() == 130 and (known[at] == points).all()
+    y = neighbours.layout(Alone(), known, many, rounds=300)[at]
+    d = np.sqrt(((y[:, None] - y) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert (g[d.argmin(axis=1)] == g).mean() > 0.95 and (y[90:] == y[:40]).all()
+
+
+def test_weighted_affinities_and_grid_are_those_of_all_pairs(monkeypatch):
+    from countloom.plans import neighbours
+
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(200, 5))
+    points = np.concatenate([points, points[:50], points[:20]])
+    known, at, many = neighbours.distinct(points)
+    near, far = neighbours.nearest(known, np.arange(200), 199)
+    p = np.zeros((200, 200))
+    np.put_along_axis(p, near.astype(int), neighbours.conditionals(far, many[near], many - 1, 20), 1)
+    apart = at[:, None] != at
+    assert np.allclose(p[at][:, at][apart], embed._affinities(embed._squared(points), 20)[apart], atol=1e-4)
+    y = rng.normal(0, 20, (1000, 2))
+    many, force = rng.integers(1, 5, 1000).astype(float), []
+    for exact in (4000, 10):
+        monkeypatch.setattr(neighbours, "EXACT", exact)
+        q, q2, *pulls = neighbours.repelled(Alone(), y, many, slice(0, 1000))
+        force.append((q, *(y[:, d] * q2 - pulls[d] for d in (0, 1))))
+    for a, b in zip(*force, strict=True):
+        assert np.abs(a - b).max() < 0.02 * np.abs(a).max()
+
+
 def test_report(spark, x, tmp_path):
     done = report.run(x, 3, 4, f"file://{tmp_path}/r", min_count=1, min_cell=1)
     tables = report.read(spark, f"file://{tmp_path}/r")
