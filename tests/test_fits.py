@@ -332,3 +332,42 @@ def test_searches_in_blocks(planted, monkeypatch):
     m = fits.matrix_of(e)
     same = fits.resampled_perplexity(spark, m, "c", fits.run_all(spark, m, "c", fits.grid({"K": [2]}, 1, 5), Priors()), resamples=2).collect()
     assert [r.perplexity for r in points] == pytest.approx([r.perplexity for r in same])
+
+
+def test_tasks_that_hold_a_matrix_fit_it_in_one_job_as_blocks_do(planted, monkeypatch):
+    from countloom.plans import blocks, ranks
+
+    e, got = planted[0], []
+    spark = e.counts.sparkSession
+    monkeypatch.setattr(fits, "LIMIT", 10)
+    side, each = fits._side_by_side, blocks.Blocks._each
+    for held in (1 << 20, 0):
+        monkeypatch.setattr(ranks, "HELD", held)
+        jobs = []
+        monkeypatch.setattr(fits, "_side_by_side", lambda *a: jobs.append(1) or side(*a))
+        monkeypatch.setattr(blocks.Blocks, "_each", lambda self, *a: jobs.append(1) or each(self, *a))
+        c = fits.cluster_cells(e, 3, chains=2, max_iter=4)
+        g = fits.cluster_features(e, 4, chains=1, max_iter=3)
+        cg = fits.cluster_both(e, 3, 4, chains=1, max_iter=3)
+        rows = fits.grid_search(e, "c", {"K": [2, 3]}, chains=2, max_iter=4).orderBy("K").collect()
+        assert bool(jobs) == (held == 0)  # no Spark jobs for a step
+        got.append([c.history, g.history, cg.history, [(r.K, r.chain, r.log_lik, r.z, r.mean_perplexity) for r in rows]] + [[tuple(r) for r in d.orderBy(d.columns[0]).collect()] for d in (c.z, g.y, cg.z, cg.y)])
+        m = fits.matrix_of(e, labels=2)
+        got[-1].append([r.perplexity for r in fits.resampled_perplexity(spark, m, "c", fits.run_all(spark, m, "c", fits.grid({"K": [2]}, 1, 5), Priors(), max_iter=3), resamples=2).collect()])
+    assert got[0] == got[1]
+
+
+def test_decontamination_by_tasks_that_hold_the_counts_is_that_of_blocks(spark, monkeypatch):
+    from countloom.plans import ambient, blocks, ranks
+
+    x, _, _ = simulate.simulate_contamination(spark, cells=40, genes=40, delta=(2, 8))
+    x = replace(x, cells=x.cells.drop("contamination"), counts=x.counts.withColumn("n", F.col("n") + 0.5))
+    monkeypatch.setattr(ambient, "LIMIT", 10)
+    got, jobs, each = [], [], blocks.Blocks._each
+    monkeypatch.setattr(blocks.Blocks, "_each", lambda self, *a: jobs.append(1) or each(self, *a))
+    for held in (1 << 20, 0):
+        monkeypatch.setattr(ranks, "HELD", held)
+        d = fits.remove_ambient(x, max_iter=3, every=1)
+        assert bool(jobs) == (held == 0)
+        got.append((d.log_lik, d.delta, [(r.theta, r.contamination) for r in d.cells.orderBy("cell_id").collect()]))
+    assert np.allclose(got[0][0], got[1][0]) and np.allclose(got[0][1], got[1][1]) and np.allclose(got[0][2], got[1][2])
