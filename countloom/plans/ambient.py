@@ -1,4 +1,5 @@
-"""Steps of the contamination mixture in numpy, each one pass over the entries: in one task, or in blocks on the cluster.
+"""Steps of the contamination mixture in numpy, each one pass over the entries: in one task, by tasks that hold them
+between them, or in blocks on the cluster.
 
 An entry's native share is 1 / (1 + ratio * odds), ratio being its feature's and cluster's (eta / phi) and odds its cell's
 ((1 - theta) / theta), so that a pass reads two numbers an entry. Labels are 0-based here.
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from countloom.operators.contamination import TINY, fitted_delta
 from countloom.plans.blocks import Block, Blocks
+from countloom.plans.ranks import Held, held
 
 #: Entries that one task holds.
 LIMIT = 8_000_000
@@ -95,6 +97,8 @@ class Spread:
 
     def native(self, ratio: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         state = {**self.labels, "ratio": ratio, "odds": odds}
+        if isinstance(self.x, Held):
+            return self.x._gathered(1, _by_cell, state), self.x._gathered(0, _by_feature, state)
         with ThreadPoolExecutor(2) as both:
             by_cell, by_feature = both.map(lambda a: self.x._gathered(a[0], a[1], state), ((1, _by_cell), (0, _by_feature)))
         return by_cell, by_feature
@@ -143,3 +147,16 @@ def in_one_task(counts: DataFrame, start: Start) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(Entries(f, c, n, s), s), 5)], pa.binary())], ["out"])
 
     return pickle.loads(counts.select("feature_id", "cell_id", "n").coalesce(1).mapInArrow(run, "out binary").toArrow().column(0)[0].as_buffer())
+
+
+def in_ranks(counts: DataFrame, start: Start) -> dict:
+    """fit() over (feature_id, cell_id, n), which the tasks of one barrier job hold between them."""
+    sent = counts.sparkSession.sparkContext.broadcast(start)
+
+    def run(x: Held) -> Iterator[pa.RecordBatch]:
+        data = memoryview(pickle.dumps(fit(Spread(x, sent.value), sent.value), 5))
+        for i in range(0, len(data), 1 << 24):
+            yield pa.RecordBatch.from_arrays([pa.array([data[i : i + (1 << 24)].tobytes()], pa.binary())], ["out"])
+
+    got = held(counts, {"feature_id": start.features, "cell_id": start.cells}, run, "out binary", np.float64).toArrow().column(0)
+    return pickle.loads(b"".join(v.as_buffer() for v in got))
